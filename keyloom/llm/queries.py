@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mix, packing
+from . import exact_dedup, license_scan, mix, packing, quality, secrets, simhash, topk, toxicity
 from .shared import read_table
 
 
@@ -20,6 +20,34 @@ def vocabulary() -> packing.Vocabulary:
     return packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, 5)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan, with no ledger yet."""
+    found, _ = secrets.secret_scan(read_table(spark, sf_dir, "documents"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>"))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda s: s.kind.isin(*secrets.BASE_KINDS))
+    return found.select(F.col("path").alias("doc_id"), *map(count, secrets.BASE_KINDS), F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of four words, as this query's contract says."""
+    rows = simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle=4)
+    return rows.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even ids stand for the history, the other rows arrive; all rows get their decision."""
     docs = read_table(spark, sf_dir, "documents")
@@ -72,7 +100,7 @@ FROM c, cut"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_mix, op9_license_scan, op10_pack)}
+    return {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_simhash, op4_exact_dedup, op5_quality, op6_mix, op7_toxicity, op9_license_scan, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
