@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mix, packing, quality, secrets, simhash, topk, toxicity
+from . import exact_dedup, license_scan, line_dedup, mix, packing, quality, secrets, simhash, topk, toxicity
 from .shared import read_table
 
 
@@ -58,6 +58,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -100,7 +105,7 @@ FROM c, cut"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_simhash, op4_exact_dedup, op5_quality, op6_mix, op7_toxicity, op9_license_scan, op10_pack)}
+    return {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_simhash, op4_exact_dedup, op5_quality, op6_mix, op7_toxicity, op8_line_dedup, op9_license_scan, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
