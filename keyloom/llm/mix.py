@@ -120,3 +120,12 @@ def mix(docs: DataFrame, seed: str = "") -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken."""
     rows = mix_sizes(document_sizes(docs), seed)
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, seed: str = "", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``docs`` with every row as many times as the mix takes it; rows alike in id, source and size share one decision."""
+    sizes = mix_sizes(document_sizes(docs, id_col, source_col, text_col), seed).where("copies > 0")
+    taken = sizes.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies"))
+    on = F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")) & (word_count(F.col(text_col)) == F.col("mix_size"))
+    both = docs.join(taken.hint("shuffle_hash"), on)
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")

@@ -8,6 +8,9 @@ the same test, on the counts of the four quarters of the fingerprint, skips pair
 
 A tile pair returns a spanning forest of its links, at most one link for each of its rows, so a
 large group of near copies costs rows, not pairs; components over the forests lose no link.
+Fingerprints have one 64-bit word, or several: the share of equal bits estimates the similarity
+of the shingles, and more bits estimate it more sharply.
+
 Copies share one fingerprint and are grouped before anything is compared.
 
 Defined cases: a text without words (null, empty or blank) has fingerprint zero and links like
@@ -35,35 +38,45 @@ BLOCK = 256
 SEED = 42
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of UTF-8 text."""
-    from xxhash import xxh64_intdigest
-
-    words = data.lower().split()  # of bytes: A-Z only, and exactly space and U+0009 to U+000D
-    if not words:
-        return 0
-    flat = b" ".join(words)
-    if len(words) <= shingle:
-        return xxh64_intdigest(flat, SEED)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
+def fingerprint(data: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
+    """The fingerprint of UTF-8 text, of so many 64-bit words, as big-endian bytes.
+
+    One word takes its bits from XXH64; a wider one from XXH3 of 128 bits, seed after seed.
+    """
+    from xxhash import xxh3_128_digest, xxh64_digest
+
+    if words == 1:
+        def digest(x: bytes) -> bytes:
+            return xxh64_digest(x, SEED)
+    else:
+        def digest(x: bytes) -> bytes:
+            return b"".join([xxh3_128_digest(x, SEED + k) for k in range(words // 2)])
+
+    parts = data.lower().split()  # of bytes: A-Z only, and exactly space and U+0009 to U+000D
+    if not parts:
+        return bytes(8 * words)
+    flat = b" ".join(parts)
+    if len(parts) <= shingle:
+        return digest(flat)
+    ends = np.cumsum([len(w) + 1 for w in parts])
+    starts = np.concatenate(([0], ends[:-1]))[: len(parts) - shingle + 1].tolist()
     ends = (ends[shingle - 1 :] - 1).tolist()
-    counts, n = np.zeros(64, dtype=np.int64), len(starts)
-    for k in range(0, n, 65_536):
-        hashes = np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[k : k + 65_536], ends[k : k + 65_536], strict=True)], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    counts, n = np.zeros(64 * words, dtype=np.int64), len(starts)
+    for k in range(0, n, 16_384):
+        hashes = b"".join([digest(flat[a:b]) for a, b in zip(starts[k : k + 16_384], ends[k : k + 16_384], strict=True)])
+        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8 * words), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = [fingerprint(t.as_py() or b"", shingle, words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
 
 def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
@@ -79,27 +92,39 @@ def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _quarters(fp: np.ndarray) -> np.ndarray:
-    return np.stack([np.bitwise_count((fp >> np.uint64(16 * k)) & np.uint64(0xFFFF)) for k in range(4)], axis=1).astype(np.int16)
+def _parts(fp: np.ndarray) -> np.ndarray:
+    """Population counts of each row's words; of a single word's four quarters."""
+    if fp.shape[1] > 1:
+        return np.bitwise_count(fp).astype(np.int16)
+    return np.concatenate([np.bitwise_count((fp >> np.uint64(16 * k)) & np.uint64(0xFFFF)) for k in range(4)], axis=1).astype(np.int16)
 
 
 def _boxes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest quarter counts of each block of rows."""
+    """Least and greatest part counts of each block of rows."""
     at = np.arange(0, len(fp), BLOCK)
-    q = _quarters(fp)
+    q = _parts(fp)
     return np.minimum.reduceat(q, at), np.maximum.reduceat(q, at)
 
 
-def _sorted_tile(fp: np.ndarray) -> np.ndarray:
-    q = _quarters(fp)
-    return fp[np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))]
+def _tile(blob: bytes, words: int) -> np.ndarray:
+    fp = np.frombuffer(blob, dtype=">u8").reshape(-1, words).astype(np.uint64)
+    return fp[np.lexsort(_parts(fp).T[::-1])]
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    if x.shape[1] > 1:
+        out = out.astype(np.uint16)
+        for k in range(1, x.shape[1]):
+            out += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    return out
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning links between or within distinct fingerprints of a and b; b None: within a alone."""
-    a = _sorted_tile(a)
-    b = a if b is None else _sorted_tile(b)
-    same = b is a
+def compare(first: bytes, second: bytes | None, radius: int = RADIUS, words: int = 1) -> list[tuple[bytes, bytes]]:
+    """Spanning links between or within the distinct fingerprints of two tiles; second None: within the first."""
+    a = _tile(first, words)
+    same = second is None
+    b = a if same else _tile(second, words)
     low_a, high_a = _boxes(a)
     low_b, high_b = (low_a, high_a) if same else _boxes(b)
     gap = np.maximum(0, np.maximum(low_a[:, None] - high_b[None], low_b[None] - high_a[:, None])).sum(-1)
@@ -114,8 +139,7 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[t
     for i, j in zip(*np.nonzero(gap <= radius), strict=True):
         if same and j < i:
             continue
-        x, y = a[i * BLOCK : (i + 1) * BLOCK], b[j * BLOCK : (j + 1) * BLOCK]
-        r, c = np.nonzero(np.bitwise_count(x[:, None] ^ y[None]) <= radius)
+        r, c = np.nonzero(_distance(a[i * BLOCK : (i + 1) * BLOCK], b[j * BLOCK : (j + 1) * BLOCK]) <= radius)
         if same and i == j:
             r, c = r[r < c], c[r < c]
         if len(r):
@@ -125,60 +149,75 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[t
             if gathered > 1_000_000:
                 label, rows, cols, gathered = fold_in(), [], [], 0
     label = fold_in() if rows else label
-    both = (a if same else np.concatenate([a, b])).view(np.int64)
-    moved = np.nonzero(label != np.arange(len(label)))[0]
-    return list(zip(both[moved].tolist(), both[label[moved]].tolist(), strict=True))
+    both = (a if same else np.concatenate([a, b])).astype(">u8")
+    return [(both[i].tobytes(), both[label[i]].tobytes()) for i in np.nonzero(label != np.arange(len(label)))[0]]
+
+
+def _population(fp: Column, words: int) -> Column:
+    parts = [F.bit_count(F.conv(F.hex(F.substring(fp, 8 * k + 4 * h + 1, 4)), 16, 10).cast("long")) for k in range(words) for h in (0, 1)]
+    return sum(parts[1:], parts[0])
+
+
+def _plan_tiles(counts: dict[int, int], tile: int) -> list[tuple[int, int, int, int]]:
+    """(least count, greatest count, first tile, tiles): small neighbouring counts share a tile, large ones are split."""
+    out: list[tuple[int, int, int, int]] = []
+    first, low, held = 0, None, 0
+    for pop in sorted(counts):
+        if low is not None and held + counts[pop] > tile:
+            out.append((low, last, first, 1))
+            first, low, held = first + 1, None, 0
+        if counts[pop] > tile:
+            k = -(-counts[pop] // tile)
+            out.append((pop, pop, first, k))
+            first += k
+            continue
+        low, last, held = pop if low is None else low, pop, held + counts[pop]
+    if low is not None:
+        out.append((low, last, first, 1))
+    return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, words: int = 1, tile: int = TILE) -> DataFrame:
     """(a, b): links whose components are those of all pairs of distinct ``fp`` within the radius."""
-    popcount = F.bit_count("fp")
-    counts = distinct.groupBy(popcount.alias("pop")).count().collect()  # at most 65 rows
-    n = sum(r["count"] for r in counts)
-    tile = max(1_024, min(tile, n // 24))
-    # A tile is a slice, by hash, of one population count: tiles of one count are alike in size.
-    tiles, first = [], 0
-    for r in sorted(counts, key=lambda r: r["pop"]):
-        k = -(-r["count"] // tile)
-        tiles.append((r["pop"], first, k))
-        first += k
-    if not tiles:
+    known = distinct.select("fp", _population(F.col("fp"), words).alias("pop"))
+    counts = {r["pop"]: r["count"] for r in known.groupBy("pop").count().collect()}  # one for each number of bits
+    n = sum(counts.values())
+    plan = _plan_tiles(counts, max(1_024, min(tile, n // 12)))
+    if not plan:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    start = F.create_map(*[F.lit(x) for p, f, _ in tiles for x in (p, f)])
-    split = F.create_map(*[F.lit(x) for p, _, k in tiles for x in (p, k)])
-    dealt = distinct.select("fp", popcount.alias("pop"))
-    dealt = dealt.select("fp", (start[F.col("pop")] + F.pmod(F.xxhash64("fp"), split[F.col("pop")])).cast("int").alias("tile"))
+    place = F.create_map(*[F.lit(x) for low, high, f, k in plan for p in range(low, high + 1) for x in (p, f * 1_000_000 + k)])
+    code = place[F.col("pop")]
+    dealt = known.select("fp", (F.floor(code / 1_000_000) + F.pmod(F.xxhash64("fp"), code % 1_000_000)).cast("int").alias("tile"))
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [int(rows["tile"].iloc[0])], "fps": [rows["fp"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"tile": [int(rows["tile"].iloc[0])], "fps": [b"".join(rows["fp"])]})
 
     packed = materialise(dealt.groupBy("tile").applyInPandas(gather, "tile int, fps binary"), "tiles")
-    spark = distinct.sparkSession
-    spans = spark.createDataFrame([(p, f, k) for p, f, k in tiles], "pop int, first int, k int")
-    own = spans.select("pop", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)).alias("t1"))
-    other = spans.select(F.col("pop").alias("pop2"), F.col("first").alias("f2"), F.col("k").alias("k2"))
-    near = F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)).alias("pop2")
-    pairs = own.select("t1", near).join(other, "pop2").select("t1", F.explode(F.sequence(F.col("f2"), F.col("f2") + F.col("k2") - 1)).alias("t2")).where("t2 >= t1")
+    # Tile pairs whose population counts can be within the radius.
+    tiles = [(low, high, f + i) for low, high, f, k in plan for i in range(k)]
+    spans = distinct.sparkSession.createDataFrame(tiles, "low int, high int, t int")
+    near = [x for _, _, x in tiles]
+    t2 = F.explode(F.sequence(F.col("t"), F.lit(max(near)))).alias("t2")
+    other = spans.select(F.col("low").alias("low2"), F.col("t").alias("t2"))
+    pairs = spans.select("high", F.col("t").alias("t1"), t2).join(other, "t2").where(F.col("low2") - F.col("high") <= radius).select("t1", "t2")
     x, y = packed.select(F.col("tile").alias("t1"), F.col("fps").alias("x")), packed.select(F.col("tile").alias("t2"), F.col("fps").alias("y"))
     work = pairs.join(x, "t1").join(y, "t2").select("t1", "t2", "x", "y")
-    work = work.repartition(max(2 * first, first * first // 100), "t1", "t2")
+    work = work.repartition(max(2 * len(tiles), len(tiles) ** 2 // 8), "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t1, t2, u, v in zip(*(batch.column(k) for k in range(4)), strict=True):
-                u = np.frombuffer(u.as_py(), dtype=np.uint64)
-                v = None if t1.as_py() == t2.as_py() else np.frombuffer(v.as_py(), dtype=np.uint64)
-                found = compare(u, v, radius)
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                found = compare(u.as_py(), None if t1.as_py() == t2.as_py() else v.as_py(), radius, words)
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(run, "a binary, b binary")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fp, component_id (the smallest id reachable over links)."""
-    rows = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    rows = materialise(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
     groups = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    roots = components(links(groups, radius))
+    roots = components(links(groups, radius, words))
     linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = materialise(linked, "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -187,4 +226,11 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 
 def hex_fingerprint(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+    return F.lower(F.hex(fp))
+
+
+def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: texts whose fingerprints agree in ``similarity`` of their bits link."""
+    groups = simhash_groups(docs, shingle, int(64 * words * (1 - similarity) + 1e-9), words, id_col, text_col)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
