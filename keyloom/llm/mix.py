@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     s = s.withColumn("spent", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("open", F.sum("weight").over(onward))
     s = s.withColumn("total", F.sum("source_size").over(every))
     s = s.withColumn("level", (F.col("total") * F.lit(float(budget)) - F.col("spent")) / F.col("open"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
     level = F.coalesce(F.col("level"), F.lit(float("inf")))
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 

@@ -90,7 +90,7 @@ g AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY fill, place ROWS BETWEEN UNBOUN
              sum(weight) OVER (ORDER BY fill, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
              sum(source_size) OVER () AS total FROM f),
 l AS (SELECT *, (CAST(total AS DOUBLE) * CAST(1.5 AS DOUBLE) - CAST(spent AS DOUBLE)) / CAST(open AS DOUBLE) AS own_level FROM g),
-t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), min(CASE WHEN own_level <= fill THEN own_level END) OVER () * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(CASE WHEN own_level <= fill THEN own_level END) OVER () * weight) AS target FROM l),
 c AS (SELECT d.*, t.source_size, t.target,
              CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
