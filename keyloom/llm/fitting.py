@@ -27,7 +27,8 @@ class Logistic(NamedTuple):
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-4, steps: int = 60) -> Logistic:
     """Newton's method on the lightly ridged likelihood, weighted so that label 1 has share ``rate``."""
-    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+    x = np.asarray(x, dtype=float)
+    x = x[:, None] if x.ndim == 1 else x
     k = x.shape[1]
     if len(set(y.tolist())) < 2:
         p = min(max(rate, 0.01), 0.99)

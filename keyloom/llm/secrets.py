@@ -118,7 +118,8 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     """(findings, appended): per row path, blob and spans<kind,start,end> in order; and the new ledger rows."""
     paths = materialise(address(docs, id_col, text_col), "paths")
     todo = materialise(unseen(paths, ledger, rules), "unseen")
-    appended = materialise(scan_blobs(docs, todo, rules, todo.count() <= BROADCAST_ROWS, id_col, text_col), "ledger")
+    scanned = scan_blobs(docs, todo, rules, todo.count() <= BROADCAST_ROWS, id_col, text_col)
+    appended = materialise(scanned.dropDuplicates(["blob"]), "ledger")  # rows may repeat id and text
     known = appended if ledger is None else appended.unionByName(ledger)
     kinds = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.version), F.struct(F.lit(i).alias("place"), F.lit(r.kind).alias("kind")))])
     hits = known.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.map_contains_key(kinds, F.col("s.version")))
