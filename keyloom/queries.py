@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars
 from .functions.keys import in_prefix, path_column
-from .operators import listing, mutation, points, prefixjoin, replay
+from .operators import listing, metrics, mutation, points, prefixjoin, replay
 from .plans.namespace import View
 from .sources import journal as J
 
@@ -482,3 +483,47 @@ def tenant_scan(spark, d):
 def log_checksums(spark, d):
     log = replay.checksums(events_log(spark, d))
     return log.agg(F.count(F.lit(1)).alias("n")).join(replay.corrupt_records(log).agg(F.count(F.lit(1)).cast("int").alias("corrupt")), F.lit(True))
+
+
+# Scalars and metrics
+
+
+@query(f"WITH {S_WEB}, n AS (SELECT version, key AS a, 'https://site' || (version % 10) || '.example' AS b FROM web), i AS (SELECT version, a, b, unnest(range(0, least(length(a), length(b)) + 1)) AS k FROM n) SELECT version, substr(any_value(a), 1, max(k)) AS shared FROM i WHERE substr(a, 1, k) = substr(b, 1, k) GROUP BY version")
+def key_common_prefix(spark, d):
+    other = F.concat(F.lit("https://site"), (F.col("version") % 10).cast("string"), F.lit(".example"))
+    return web(spark, d).select("version", scalars.common_prefix(F.col("key"), other).alias("shared"))
+
+
+@query("SELECT n, unhex(CASE WHEN n % 256 = 255 THEN printf('%02X', n // 256 + 1) ELSE printf('%02X%02X', n // 256, n % 256 + 1) END) AS next FROM (SELECT o_orderkey % 65000 AS n FROM orders)")
+def key_successor(spark, d):
+    n = F.col("o_orderkey") % 65000
+    return table(spark, d, "orders").select(n.alias("n"), scalars.successor(F.unhex(F.lpad(F.hex(n), 4, "0"))).alias("next"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 1000000 AS inode, o_custkey % 256 AS kind FROM orders")
+def inode_unpack(spark, d):
+    t = table(spark, d, "orders")
+    packed = F.concat(scalars.pack_le(F.col("o_orderkey") % 1000000, 6), scalars.pack_le(F.col("o_custkey") % 256, 1))
+    return t.select("o_orderkey", packed.alias("v")).select("o_orderkey", scalars.unpack_le(F.col("v"), 0, 6).alias("inode"), scalars.unpack_le(F.col("v"), 6, 1).alias("kind"))
+
+
+@query("SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS size, printf('%016x', user_id) AS sorted FROM events")
+def pair_parse(spark, d):
+    t = table(spark, d, "events")
+    m = scalars.parse_pairs(F.concat(F.lit("size="), F.col("user_id").cast("string"), F.lit(";kind="), "event_type"))
+    return t.select("event_id", m["kind"].alias("kind"), m["size"].alias("size"), scalars.ordered_number(F.col("user_id")).alias("sorted"))
+
+
+@query(f"WITH {S_DOCS} SELECT version, substr(key, 6) AS name FROM docs")
+def strip_prefix(spark, d):
+    return docs(spark, d).select("version", scalars.strip_prefix(F.col("key"), "docs/").alias("name"))
+
+
+@query(f"WITH {S_LOG}, {s_live()}, s AS (SELECT tree, count(*) AS n_keys, CAST(sum(strlen(key)) AS BIGINT) AS key_bytes, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes, max(version) AS last_version FROM live GROUP BY tree), u AS (UNPIVOT s ON n_keys, key_bytes, value_bytes, last_version INTO NAME k VALUE v) SELECT 'keyloom_' || k || '{{tree=' || chr(34) || tree || chr(34) || '}} ' || v AS line FROM u")
+def metrics_text(spark, d):
+    return metrics.exposition(metrics.tree_stats(replay.fold_last(events_log(spark, d))))
+
+
+@query(f"WITH {S_WEB}, c AS (SELECT key, unnest(range(1, length(key) + 1)) AS n FROM web), x AS (SELECT substr(key, n, 1) AS delimiter, substr(key, 1, n) AS prefix FROM c) SELECT delimiter, prefix, count(*) AS n_keys FROM x WHERE delimiter IN ('/', ':', '|', '#', '@', '\\') GROUP BY 1, 2")
+def component_summary(spark, d):
+    return metrics.component_summary(web(spark, d))
