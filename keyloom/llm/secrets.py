@@ -125,7 +125,8 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     hits = known.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.map_contains_key(kinds, F.col("s.version")))
     k = F.element_at(kinds, F.col("s.version"))
     span = F.struct(F.col("s.start").alias("start"), k.place.alias("place"), k.kind.alias("kind"), F.col("s.end").alias("end"))
-    spans = hits.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    # Written before it is joined, so that a blob with very many rows can be split among tasks.
+    spans = materialise(hits.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("spans")), "spans")
     return paths.join(spans, "blob", "left"), appended
 
 
