@@ -10,10 +10,12 @@ tested by length, by position and by a parity signature, whose differing bits ne
 differing words. Counts for the order are kept in a fixed number of buckets, summed over all
 lines; any fixed order gives the same result, and a bucket that counts one line posts nothing.
 Words for which many lines post are split into blocks, and pairs of blocks are compared apart.
-For each line and word the earliest candidate goes on to be verified on the whole sets; lines
-for which none holds come back with all their candidates. Equal sets are grouped before.
+For each line and word the likeliest candidates go on to be verified on the whole sets. Where very
+many are about as likely, the lines of that word are compared on their whole sets in one group,
+whose size the blocks bound; a line whose one likely candidate fails comes back with all of them. Equal sets are grouped before.
 
-Words are told apart by 64-bit hashes and equal sets by 128 bits.
+Words are told apart by 64-bit hashes and equal sets by 128 bits. Texts are cut into words, hashed
+and counted in numpy, whole buffers at a time.
 
 Defined cases: a null text stays null and has no lines; a null id stands after all others, told
 apart by text; rows that share an id share their lines' places, and a line goes from all of them
@@ -22,7 +24,6 @@ together; empty tables give empty results; other columns pass through unchanged.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,34 +37,81 @@ from .shared import materialise
 THRESHOLD = (4, 5)  # 0.8
 LEAST_WORDS = 5
 BUCKETS = 1 << 20
-CHUNKS = 64
+CHUNKS = 16
 HOT = 8_192
+PER_BUCKET = 300_000
+FLUSH = 500_000
+DOUBTFUL = 16
 GROUP_BYTES = 1 << 20
-_SPREAD = 256
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+# Fixed pseudo-random value per byte; 0 for the whitespace of words.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+_BYTE = np.where(_SPACE, np.uint64(0), _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 to n - 1, modulo 2 ** 64."""
+    if len(_powers.get(base, ())) < n:
+        with np.errstate(over="ignore"):
+            _powers[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + (n >> 2), base, dtype=np.uint64)]))
+    return _powers[base][:n]
+
+
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word of a byte buffer that ends in whitespace.
+
+    A word's hash is a polynomial in its bytes' values, taken as a difference of running sums.
+    """
+    word = ~_SPACE[buf]
+    edge = np.diff(np.concatenate([[False], word]).astype(np.int8))
+    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), dtype=np.uint64)])
+    h = (sums[end] - sums[start]) * _power(_INVERSE, len(buf) + 1)[start]
+    return start, _mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
 
 
 class Lines:
-    """The lines of some texts as flat arrays: words' hashes, line by line."""
+    """The compared lines of some texts as flat arrays: distinct words' hashes, line by line."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
-        from xxhash import xxh3_64_intdigest
-
-        flat: list[bytes] = []
-        size: list[int] = []
-        doc: list[int] = []
-        no: list[int] = []
-        for i, text in zip(ids, texts, strict=True):
-            for k, line in enumerate(text.split(b"\n")):
-                words = set(line.split())  # of bytes: exactly space and U+0009 to U+000D
-                if len(words) >= LEAST_WORDS:
-                    flat += words
-                    size.append(len(words))
-                    doc.append(i)
-                    no.append(k)
-        self.hash = np.fromiter(map(xxh3_64_intdigest, flat), dtype=np.uint64, count=len(flat))
-        self.size, self.doc, self.no = np.array(size, dtype=np.int64), np.array(doc, dtype=np.int64), np.array(no, dtype=np.int32)
+        buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        breaks = np.nonzero(buf == 10)[0]
+        start, h = word_hashes(buf)
+        line = np.searchsorted(breaks, start)
+        bits = max(1, int(len(breaks)).bit_length())
+        order = np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+        line, h = line[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+        line, h = line[new], h[new]
+        size = np.bincount(line, minlength=len(breaks))
+        fit = size >= LEAST_WORDS
+        keep = fit[line]
+        per_text = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+        no = np.arange(len(breaks)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        self.hash = h[keep]
+        self.size = size[fit]
+        self.doc = np.repeat(np.array(ids, dtype=np.int64), per_text)[fit]
+        self.no = no[fit].astype(np.int32)
         self.start = np.cumsum(self.size) - self.size
-        self.line = np.repeat(np.arange(len(size)), self.size)
+        self.line = np.repeat(np.arange(len(self.size)), self.size)
 
     def set_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit values that do not depend on the words' order."""
@@ -77,53 +125,77 @@ class Lines:
         return np.bitwise_xor.reduceat(np.uint64(1) << (self.hash & np.uint64(63)), self.start)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
-    """Lines of (id, text as binary) rows, a bounded amount of text at a time."""
+def _texts(batches: Iterator[pa.RecordBatch], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(id, text as binary) rows in groups of bounded size; ``wanted`` says by id which matter."""
     ids, texts, held = [], [], 0
     for batch in batches:
+        batch = batch if wanted is None else batch.filter(pa.array(wanted(batch.column(0).to_numpy()), pa.bool_()))
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py()
             ids.append(i)
             texts.append(text)
             held += len(text)
             if held > GROUP_BYTES:
-                yield Lines(ids, texts)
+                yield ids, texts
                 ids, texts, held = [], [], 0
     if ids:
+        yield ids, texts
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], wanted: Callable | None = None) -> Iterator[Lines]:
+    for ids, texts in _texts(batches, wanted):
         yield Lines(ids, texts)
 
 
+class Tally:
+    """Counts per bucket, added up a million words at a time."""
+
+    def __init__(self) -> None:
+        self.total = np.zeros(BUCKETS, dtype=np.int64)
+        self.held: list[np.ndarray] = []
+
+    def add(self, buckets: np.ndarray) -> None:
+        self.held.append(buckets.astype(np.int32))
+        if sum(map(len, self.held)) > BUCKETS:
+            self.counts()
+
+    def counts(self) -> np.ndarray:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=BUCKETS)
+            self.held.clear()
+        return self.total
+
+
 def _packed(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
     for c, part in enumerate(np.split(counts.astype("<i8"), CHUNKS)):
         if part.any():
-            yield c, zlib.compress(part.tobytes(), 1)
+            yield c, pack(part.tobytes())
 
 
 def total_counts(partial: DataFrame) -> np.ndarray:
     """The sum of all tasks' (chunk, counts) rows: BUCKETS numbers, whatever the input's size."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
         total = np.zeros(BUCKETS // CHUNKS, dtype="<i8")
         for blob in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), dtype="<i8")
-        return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<i8")
+        return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
+
+    import zstandard
 
-    some = partial.withColumn("spread", F.pmod(F.xxhash64("counts"), F.lit(_SPREAD)))
+    # Sums of sums keep the rows that meet in one task few, however many tasks have counted.
+    spread = max(1, partial.rdd.getNumPartitions() // 64)
+    some = partial.withColumn("spread", F.pmod(F.xxhash64("counts"), F.lit(spread)))
     some = some.groupBy("chunk", "spread").applyInPandas(add, "chunk int, counts binary")
+    some = some if spread == 1 else some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
     out = np.zeros((CHUNKS, BUCKETS // CHUNKS), dtype=np.int64)
-    for r in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8")
+    for r in some.collect():
+        out[r["chunk"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), dtype="<i8")
     return out.ravel()
 
 
@@ -133,18 +205,36 @@ def line_id(id_column: Column, text: Column) -> Column:
     return F.coalesce(id_column.cast("long"), own)
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """All compared lines (s1, s2, doc, no), and each task's word counts as (chunk, counts)."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Each task's (chunk, counts) of all words, repeats within a line included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Tally()
+        for _, texts in _texts(batches):
+            total.add(_bucket(word_hashes(np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8))[1]))
+        packed = list(_packed(total.counts()))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["chunk", "counts"])
+
+    return rows.mapInArrow(run, "chunk int, counts binary")
+
+
+def _held_counts(rows: DataFrame, counts: np.ndarray):
+    return rows.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64))
+
+
+def occurrences(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """All compared lines (s1, s2, doc, no), and each task's counts of posted words as (chunk, counts)."""
+    held = _held_counts(rows, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["s1", "s2", "doc", "no", "chunk", "counts"]
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        total = Tally()
         for lines in _grouped(batches):
-            counts += np.bincount(_bucket(lines.hash), minlength=BUCKETS)
+            total.add(_bucket(_prefixes(lines, held.value)[0]))
             s1, s2 = lines.set_ids()
             n = len(s1)
             yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(lines.doc), pa.array(lines.no), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        packed = list(_packed(counts))
+        packed = list(_packed(total.counts()))
         n = len(packed)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.int32()), pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], names)
 
@@ -155,7 +245,8 @@ def _prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """(word, line, position) of every posted prefix word, rarest first within a line."""
     num, den = THRESHOLD
     c = counts[_bucket(lines.hash)]
-    order = np.lexsort((lines.hash, c, lines.line))
+    # The words of a line come in order of hash; a stable sort by (line, count) keeps that among equals.
+    order = np.argsort((lines.line.astype(np.uint64) << np.uint64(40)) | np.minimum(c.astype(np.uint64), np.uint64(2**40 - 1)), kind="stable")
     at = lines.line[order]
     position = np.arange(len(at)) - lines.start[at]
     n = lines.size[at]
@@ -163,37 +254,63 @@ def _prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return lines.hash[order][posted], at[posted], position[posted]
 
 
-def prefix_counts(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64))
+_FIELDS = (("key", "<u8"), ("doc", "<i8"), ("sig", "<u8"), ("no", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1"))
+_POSTING_BYTES = sum(np.dtype(t).itemsize for _, t in _FIELDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for lines in _grouped(batches):
-            total += np.bincount(_bucket(_prefixes(lines, held.value)[0]), minlength=BUCKETS)
-        packed = list(_packed(total))
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["chunk", "counts"])
 
-    return rows.mapInArrow(run, "chunk int, counts binary")
+def _to_blob(columns: list[np.ndarray]) -> bytes:
+    """Postings column by column, which compresses better than row by row."""
+    return b"".join(c.astype(t).tobytes() for c, (_, t) in zip(columns, _FIELDS, strict=True))
 
 
-_POSTING = "key long, side int, doc long, no int, n int, pos int, sig long"
+def _from_blobs(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in _FIELDS}
+    for blob in blobs:
+        n, at = len(blob) // _POSTING_BYTES, 0
+        for name, t in _FIELDS:
+            parts[name].append(np.frombuffer(blob, dtype=t, count=n, offset=at))
+            at += n * np.dtype(t).itemsize
+    return {name: np.concatenate(p) for name, p in parts.items()}
 
 
 def postings(rows: DataFrame, counts: np.ndarray, posted: np.ndarray) -> DataFrame:
-    """Each line's prefix words; words with over HOT postings go to pairs of blocks.
+    """(bucket, blob): each line's prefix words, packed by bucket of their key.
 
-    In a pair of different blocks side is 0 or 1, elsewhere 2; only 0 with 1 and 2 with 2 meet.
+    Words with over HOT postings go to pairs of blocks. In a pair of different blocks side is
+    0 or 1, elsewhere 2; only 0 with 1 and 2 with 2 meet.
     """
-    context = rows.sparkSession.sparkContext
-    held = context.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64))
-    blocks = context.broadcast(np.maximum(1, -(-posted // HOT)).astype(np.int32))
+    held = _held_counts(rows, counts)
+    blocks = rows.sparkSession.sparkContext.broadcast(np.maximum(1, -(-posted // HOT)).astype(np.int32))
+    buckets = max(16, int(posted.sum()) // PER_BUCKET)
+
+    def expand(lines: Lines, word: np.ndarray, line: np.ndarray, position: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        k = blocks.value[_bucket(word)]
+        yield word[k == 1], line[k == 1], position[k == 1], np.full(int((k == 1).sum()), 2, dtype=np.int8)
+        for m in np.unique(k[k > 1]).tolist():
+            w, at, p = word[k == m], line[k == m], position[k == m]
+            own = (_mix(lines.doc[at].view(np.uint64) * np.uint64(31) + lines.no[at].astype(np.uint64)) % np.uint64(m)).astype(np.int64)
+            for other in range(m):
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                side = np.where(own == other, 2, np.where(own == low, 0, 1)).astype(np.int8)
+                yield _mix(w + np.uint64(1) + (low * m + high).astype(np.uint64)), at, p, side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        waiting: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            waiting.clear()
+            to = (_mix(columns[0]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            columns, to = [c[order] for c in columns], to[order]
+            cuts = np.nonzero(np.diff(to, prepend=-1))[0].tolist() + [len(to)]
+            blobs = [_to_blob([c[a:b] for c in columns]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
         for lines in _grouped(batches):
-            s1, s2 = lines.set_ids()
-            fresh = np.zeros(len(s1), dtype=bool)
-            for i, key in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
+            fresh = np.zeros(len(lines.size), dtype=bool)
+            for i, key in enumerate(zip(*(x.tolist() for x in lines.set_ids()), strict=True)):
                 if key not in seen:
                     seen.add(key)
                     fresh[i] = True
@@ -201,25 +318,15 @@ def postings(rows: DataFrame, counts: np.ndarray, posted: np.ndarray) -> DataFra
                 seen.clear()
             word, line, position = _prefixes(lines, held.value)
             keep = fresh[line]
-            word, line, position = word[keep], line[keep], position[keep]
-            k = blocks.value[_bucket(word)]
-            side = np.full(len(word), 2, dtype=np.int32)
-            parts = [(word[k == 1], line[k == 1], position[k == 1], side[k == 1])]
-            for m in np.unique(k[k > 1]).tolist():
-                w, l, p = word[k == m], line[k == m], position[k == m]
-                own = (_mix(lines.doc[l].view(np.uint64) * np.uint64(31) + lines.no[l].astype(np.uint64)) % np.uint64(m)).astype(np.int64)
-                for other in range(m):
-                    low, high = np.minimum(own, other), np.maximum(own, other)
-                    s = np.where(own == other, 2, np.where(own == low, 0, 1)).astype(np.int32)
-                    parts.append((_mix(w + np.uint64(1) + (low * m + high).astype(np.uint64)), l, p, s))
-            w, l, p, s = (np.concatenate(x) for x in zip(*parts, strict=True))
             sig = lines.signature()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w.view(np.int64)), pa.array(s), pa.array(lines.doc[l]), pa.array(lines.no[l]), pa.array(lines.size[l].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(sig[l].view(np.int64))],
-                ["key", "side", "doc", "no", "n", "pos", "sig"],
-            )
+            for w, at, p, side in expand(lines, word[keep], line[keep], position[keep]):
+                waiting.append([w, lines.doc[at], sig[at], lines.no[at], lines.size[at], p, side])
+                if sum(len(x[0]) for x in waiting) > FLUSH:
+                    yield flush()
+        if waiting:
+            yield flush()
 
-    return rows.mapInArrow(run, _POSTING)
+    return rows.mapInArrow(run, "bucket int, blob binary")
 
 
 def _similar(g: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -257,123 +364,174 @@ def _meet(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield a[ok], b[ok]
 
 
-_PAIR = "doc long, no int, by_doc long, by_no int, more boolean"
+_PAIR = "doc long, no int, by_doc long, by_no int, more boolean, cluster long"
 
 
-def candidates(posted: DataFrame, every: bool) -> DataFrame:
-    """(doc, no, by_doc, by_no, more): for a line and a key the earliest candidate, or every one.
+def candidates(posted: DataFrame, every: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(doc, no, by_doc, by_no, more, cluster): earlier candidates of each line that shares a key.
 
-    ``more`` says that others were left out. The rows of one key lie together, key after key.
+    For a line and a key, the candidate whose signature differs least, where that is clearly
+    within the bound; ``more`` says that there were others. Where it is doubtful, all candidates
+    if they are few; if not, the line and its candidates are members of a cluster of the key, one
+    row each, ``more`` marking the lines that ask. With ``every`` (a test of arrays of doc and no)
+    all candidates of the lines it names, as clusters.
     """
 
-    def out(g: dict[str, np.ndarray]) -> pa.RecordBatch:
-        found = list(_meet(g)) if len(g["key"]) else []
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
+    def out(rows: pd.DataFrame) -> pd.DataFrame:
+        g = _from_blobs(list(rows["blob"]))
+        order = np.argsort(g["key"], kind="stable")
+        g = {k: v[order] for k, v in g.items()}
+        g = {k: v.astype(np.int64) if k in ("n", "pos", "side") else v for k, v in g.items()}
+        found = list(_meet(g))
+        a = np.concatenate([np.empty(0, np.int64), *(x for x, _ in found)])
+        b = np.concatenate([np.empty(0, np.int64), *(y for _, y in found)])
         swap = (g["doc"][a] > g["doc"][b]) | ((g["doc"][a] == g["doc"][b]) & (g["no"][a] > g["no"][b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        a, b = (a[g["ask"][b]], b[g["ask"][b]]) if "ask" in g else (a, b)
-        order = np.lexsort((g["no"][a], g["doc"][a], g["no"][b], g["doc"][b]))
-        a, b = a[order], b[order]
-        lead = np.ones(len(b), dtype=bool)
-        lead[1:] = (g["doc"][b[1:]] != g["doc"][b[:-1]]) | (g["no"][b[1:]] != g["no"][b[:-1]])
-        more = np.zeros(len(b), dtype=bool)
-        if not every and len(b):
-            at = np.nonzero(lead)[0]
-            more = np.diff(np.concatenate([at, [len(b)]])) > 1
-            a, b = a[at], b[at]
-        return pa.RecordBatch.from_arrays([pa.array(g["doc"][b]), pa.array(g["no"][b]), pa.array(g["doc"][a]), pa.array(g["no"][a]), pa.array(more)], ["doc", "no", "by_doc", "by_no", "more"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            new = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-            new["sig"] = new["sig"].view(np.uint64)
-            new["n"], new["pos"] = new["n"].astype(np.int64), new["pos"].astype(np.int64)
-            held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(held["key"], held["key"][-1])) if len(held["key"]) else 0
-            if cut > 50_000:
-                yield out({k: v[:cut] for k, v in held.items()})
-                held = {k: v[cut:] for k, v in held.items()}
-        if held is not None:
-            yield out(held)
-
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, _PAIR)
-
-
-def _line_bucket(doc: np.ndarray, no: np.ndarray) -> np.ndarray:
-    return _bucket(_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(1_000_003) + no.astype(np.uint64)))
-
-
-def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, no, words): at least the ``wanted`` (doc, no), found by a bit array of fixed size."""
+        if every is not None:
+            asked = every(g["doc"][b], g["no"][b])
+            a, b = a[asked], b[asked]
+        far = np.bitwise_count(g["sig"][a] ^ g["sig"][b]).astype(np.int64)
+        order = np.lexsort((g["no"][a], g["doc"][a], far, b))
+        a, b, far = a[order], b[order], far[order]
+        first = np.nonzero(np.diff(b, prepend=-1))[0]
+        size = np.diff(np.append(first, len(b)))
+        num, den = THRESHOLD
+        both = g["n"][a[first]] + g["n"][b[first]]
+        bound = both - 2 * -(-num * both // (num + den))
+        doubtful = (far[first] * 3 > bound) | (bound < 3)
+        crowd = (doubtful & (size > DOUBTFUL)) if every is None else np.ones(len(first), dtype=bool)
+        rank = np.arange(len(b)) - np.repeat(first, size)
+        pair = np.repeat(~crowd, size) & (np.repeat(doubtful, size) | (rank == 0))
+        more = np.repeat(~doubtful & (size > 1), size)[pair]
+        # The members of clusters, each once for a key: who asks, and who is asked.
+        asker, asked = b[first[crowd]], np.setdiff1d(a[np.repeat(crowd, size)], b[first[crowd]])
+        member = np.concatenate([asker, asked])
+        asks = np.arange(len(member)) < len(asker)
+        a, b = a[pair], b[pair]
+        pairs = pd.DataFrame({"doc": g["doc"][b], "no": g["no"][b], "by_doc": g["doc"][a], "by_no": g["no"][a], "more": more, "cluster": pd.array([None] * len(b), dtype="Int64")})
+        members = pd.DataFrame({"doc": g["doc"][member], "no": g["no"][member], "by_doc": -1, "by_no": -1, "more": asks, "cluster": pd.array(g["key"][member].view(np.int64), dtype="Int64")})
+        return pd.concat([pairs, members])
+
+    return posted.groupBy("bucket").applyInPandas(out, _PAIR)
+
+
+def _line_bucket(doc: np.ndarray, no: np.ndarray, seed: int = 0) -> np.ndarray:
+    return _bucket(_mix(np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64) + doc.astype(np.int64).view(np.uint64) * np.uint64(1_000_003) + no.astype(np.int64).view(np.uint64)))
+
+
+def _marked(lines: DataFrame, docs_only: bool = False, seed: int = 0) -> np.ndarray:
+    """A bit array of fixed size that has a bit for every (doc, no), or doc."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            total[_line_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = 1
+            no = batch.column(1).to_numpy()
+            total[_line_bucket(batch.column(0).to_numpy(), no * 0 - 1 if docs_only else no, seed)] = 1
         packed = list(_packed(total))
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["chunk", "counts"])
 
-    marked = rows.sparkSession.sparkContext.broadcast(total_counts(wanted.mapInArrow(mark, "chunk int, counts binary")) > 0)
+    return total_counts(lines.select("doc", "no").mapInArrow(mark, "chunk int, counts binary")) > 0
+
+
+def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, no, words): at least the ``wanted`` (doc, no), found by bit arrays of fixed size."""
+    context = rows.sparkSession.sparkContext
+    wanted = materialise(wanted.distinct(), "wanted")
+    marked, also = context.broadcast(_marked(wanted)), context.broadcast(_marked(wanted, seed=1))
+    some = context.broadcast(_marked(wanted, docs_only=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _grouped(batches):
-            at = np.nonzero(marked.value[_line_bucket(lines.doc, lines.no)])[0] if len(lines.doc) else []
-            words = [np.sort(lines.hash[s : s + n]).tobytes() for s, n in zip(lines.start[at], lines.size[at], strict=True)]
+        for lines in _grouped(batches, lambda doc: some.value[_line_bucket(doc, np.full(len(doc), -1))]):
+            at = np.nonzero(marked.value[_line_bucket(lines.doc, lines.no)] & also.value[_line_bucket(lines.doc, lines.no, 1)])[0]
+            words = [lines.hash[s : s + n].tobytes() for s, n in zip(lines.start[at], lines.size[at], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(lines.doc[at]), pa.array(lines.no[at]), pa.array(words, pa.binary())], ["doc", "no", "words"])
 
     return rows.mapInArrow(run, "doc long, no int, words binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (doc, no, by_doc, by_no) whose sets have the wanted Jaccard similarity."""
+def _verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (doc, no) whose sets have the wanted Jaccard similarity."""
     num, den = THRESHOLD
-    ends = pairs.select("doc", "no").unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_no").alias("no"))).distinct()
-    ends = materialise(ends, "ends")
-    sets = materialise(word_sets(rows, ends).join(ends, ["doc", "no"], "left_semi").dropDuplicates(["doc", "no"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for u, v in zip(batch.column(4), batch.column(5), strict=True):
+            for u, v in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = np.frombuffer(u.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both * (num + den) >= num * (len(u) + len(v)))
-            kept = pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], batch.schema.names[:4])
+            kept = pa.RecordBatch.from_arrays([batch.column(k) for k in range(2)], batch.schema.names[:2])
             yield kept.filter(pa.array(keep, pa.bool_()))
 
     u = sets.withColumnRenamed("words", "u")
     v = sets.select(F.col("doc").alias("by_doc"), F.col("no").alias("by_no"), F.col("words").alias("v"))
-    both = pairs.select("doc", "no", "by_doc", "by_no").join(u, ["doc", "no"]).join(v, ["by_doc", "by_no"]).select("doc", "no", "by_doc", "by_no", "u", "v")
-    return both.mapInArrow(run, "doc long, no int, by_doc long, by_no int")
+    both = pairs.select("doc", "no", "by_doc", "by_no").join(u, ["doc", "no"]).join(v, ["by_doc", "by_no"]).select("doc", "no", "u", "v")
+    return both.mapInArrow(run, "doc long, no int")
+
+
+def _verified_members(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The asking lines (doc, no) that are similar to an earlier line of their cluster, which HOT bounds."""
+    num, den = THRESHOLD
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc", "no"], kind="stable").reset_index(drop=True)
+        words = [np.frombuffer(w, np.uint64) for w in rows["words"]]
+        size = np.array([len(w) for w in words])
+        _, code = np.unique(np.concatenate(words), return_inverse=True)
+        start = np.cumsum(size) - size
+        mark = np.zeros(code.max() + 1, dtype=np.int64)
+        found = []
+        for i in np.nonzero(rows["more"].to_numpy(bool))[0].tolist():
+            own = code[start[i] : start[i] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[code[: start[i]]], start[:i]) if i else np.empty(0)
+            mark[own] = 0
+            earlier = (rows["doc"].to_numpy()[:i] != rows["doc"][i]) | (rows["no"].to_numpy()[:i] != rows["no"][i])
+            if (earlier & (both * (num + den) >= num * (size[:i] + size[i]))).any():
+                found.append(i)
+        return rows.loc[found, ["doc", "no"]]
+
+    return members.select("doc", "no", "more", "cluster").join(sets, ["doc", "no"]).groupBy("cluster").applyInPandas(run, "doc long, no int")
+
+
+def verified(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, no) of the lines in ``candidates`` rows that are similar to an earlier line."""
+    ends = found.select("doc", "no").unionByName(found.where("cluster is null").select(F.col("by_doc").alias("doc"), F.col("by_no").alias("no")))
+    sets = materialise(word_sets(rows, ends), "sets")
+    # One after the other, so that the sets are not shuffled for both at once.
+    pairs = materialise(_verified_pairs(found.where("cluster is null"), sets).distinct(), "pairs")
+    members = materialise(_verified_members(found.where("cluster is not null"), sets).distinct(), "members")
+    return pairs.unionByName(members).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, no): every line that an earlier line is similar to; ``doc`` as in ``line_id``."""
     rows = docs.where(F.col(text_col).isNotNull()).select(line_id(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    seen = materialise(occurrences(rows), "lines")
-    counts = total_counts(seen.where("chunk is not null").select("chunk", "counts"))
+    counts = total_counts(word_counts(rows))
+    seen = materialise(occurrences(rows, counts), "lines")
+    posted = total_counts(seen.where("chunk is not null").select("chunk", "counts"))
     lines = seen.where("chunk is null").select("s1", "s2", "doc", "no")
     first = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "no")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = lines.join(first, ["s1", "s2"]).where((F.col("doc") != F.col("f.doc")) | (F.col("no") != F.col("f.no"))).select("doc", "no")
-    posted = total_counts(prefix_counts(rows, counts))
+    first = materialise(first, "first")  # so that a very common line can be split among tasks in the join
+    copies = materialise(lines.join(first, ["s1", "s2"]).where((F.col("doc") != F.col("f.doc")) | (F.col("no") != F.col("f.no"))).select("doc", "no"), "copies")
+    table = postings(rows, counts, posted)
 
-    def round_of(table: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
-        pairs = candidates(table, every).groupBy("doc", "no", "by_doc", "by_no").agg(F.max("more").alias("more"))
-        pairs = materialise(pairs, "pairs")
-        return pairs, materialise(verified(pairs, rows), "verified")
+    def checked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = materialise(found, "found").groupBy("doc", "no", "by_doc", "by_no", "cluster").agg(F.max("more").alias("more"))
+        # Copies are gone already; they need not ask, but others may ask them.
+        alone = F.col("cluster").isNull()
+        found = found.where(alone).join(copies, ["doc", "no"], "left_anti").unionByName(found.where(~alone), allowMissingColumns=True)
+        found = materialise(found, "candidates")
+        return found, materialise(verified(found, rows), "verified")
 
-    table = postings(rows, counts, posted)
-    pairs, sure = round_of(table, False)
-    open_ = pairs.groupBy("doc", "no").agg(F.max("more").alias("more")).where("more").select("doc", "no").join(sure.select("doc", "no"), ["doc", "no"], "left_anti")
+    found, sure = checked(candidates(table))
+    open_ = found.where("cluster is null and more").select("doc", "no").distinct().join(sure, ["doc", "no"], "left_anti")
     open_ = materialise(open_, "open")
-    removed = copies.unionByName(sure.select("doc", "no"))
+    removed = copies.unionByName(sure)
     if not open_.isEmpty():
-        asked = table.join(open_.withColumn("ask", F.lit(True)), ["doc", "no"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        asked = asked.select("key", "side", "doc", "no", "n", "pos", "sig", "ask")
-        removed = removed.unionByName(round_of(asked, True)[1].select("doc", "no"))
+        asked = docs.sparkSession.sparkContext.broadcast(_marked(open_))
+        again = candidates(table, lambda doc, no: asked.value[_line_bucket(doc, no)])
+        removed = removed.unionByName(checked(again)[1])
     return removed.distinct()
 
 

@@ -18,11 +18,22 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "/tmp/checkpoints/keyloom").rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: lineage ends at files every executor sees."""
+    """Write ``df`` to the shared folder once and read it back: lineage ends at files every executor sees.
+
+    The shuffle files behind the write are of no more use, and Spark removes them when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
