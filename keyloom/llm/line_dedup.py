@@ -276,6 +276,9 @@ def _from_blobs(blobs: list[bytes]) -> dict[str, np.ndarray]:
 def postings(rows: DataFrame, counts: np.ndarray, posted: np.ndarray) -> DataFrame:
     """(bucket, blob): each line's prefix words, packed by bucket of their key.
 
+    Of equal sets a line posts only where it comes before all that its task has read, in whatever
+    order, so the first of all tasks always posts.
+
     Words with over HOT postings go to pairs of blocks. In a pair of different blocks side is
     0 or 1, elsewhere 2; only 0 with 1 and 2 with 2 meet.
     """
@@ -295,7 +298,7 @@ def postings(rows: DataFrame, counts: np.ndarray, posted: np.ndarray) -> DataFra
                 yield _mix(w + np.uint64(1) + (low * m + high).astype(np.uint64)), at, p, side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: dict[bytes, int] = {}
         waiting: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -310,9 +313,14 @@ def postings(rows: DataFrame, counts: np.ndarray, posted: np.ndarray) -> DataFra
 
         for lines in _grouped(batches):
             fresh = np.zeros(len(lines.size), dtype=bool)
-            for i, key in enumerate(zip(*(x.tolist() for x in lines.set_ids()), strict=True)):
-                if key not in seen:
-                    seen.add(key)
+            s1, s2 = lines.set_ids()
+            order = np.lexsort((lines.no, lines.doc, s2, s1))
+            least = order[(np.diff(s1[order], prepend=0) != 0) | (np.diff(s2[order], prepend=0) != 0) | (np.arange(len(order)) == 0)]
+            keys = np.stack([s1[least], s2[least]], axis=1).view("V16").ravel().tolist()
+            for i, key, doc, no in zip(least.tolist(), keys, lines.doc[least].tolist(), lines.no[least].tolist(), strict=True):
+                place = doc << 32 | no
+                if key not in seen or place < seen[key]:
+                    seen[key] = place
                     fresh[i] = True
             if len(seen) > 500_000:
                 seen.clear()

@@ -145,6 +145,15 @@ def test_second_round_finds_what_the_first_left_out(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(rows)
 
 
+@pytest.mark.parametrize("group", [1, 1 << 20])
+def test_first_copy_posts_in_any_order_of_reading(spark, monkeypatch, group):
+    monkeypatch.setattr(line_dedup, "GROUP_BYTES", group)
+    copied = " ".join(f"w{k}" for k in range(20))
+    rows = [(900, copied), (5, copied), (100, copied.replace("w7", "other"))]
+    got = line_dedup.line_dedup(docs_frame(spark, rows).coalesce(1))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {5: copied, 100: "", 900: ""}
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab \n\tc\xc3\xa9") for _ in range(20_000)) + b" "
