@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
 A line's words form a set; a later line (in order of document id, then place) goes when some
-earlier line is similar: Jaccard at least ``THRESHOLD``. Lines of fewer than ``LEAST_WORDS``
-distinct words are never compared.
+earlier line is similar: Jaccard at least ``THRESHOLD``. Only lines without words are never
+compared. Below ``LEAST_POSTED`` distinct words, similar sets are equal sets.
 
 The words of a line are ordered by rarity. A similar pair shares a word among the first few
 (the prefix), so each line posts its prefix words only; lines meet at a shared word and are
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 THRESHOLD = (4, 5)  # 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 1
+LEAST_POSTED = -(-THRESHOLD[0] // (THRESHOLD[1] - THRESHOLD[0]))  # one word more or less still leaves the wanted Jaccard
 BUCKETS = 1 << 20
 CHUNKS = 16
 HOT = 8_192
@@ -250,7 +251,7 @@ def _prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     at = lines.line[order]
     position = np.arange(len(at)) - lines.start[at]
     n = lines.size[at]
-    posted = (position < n + (-num * n) // den + 1) & (c[order] > 1)
+    posted = (n >= LEAST_POSTED) & (position < n + (-num * n) // den + 1) & (c[order] > 1)
     return lines.hash[order][posted], at[posted], position[posted]
 
 

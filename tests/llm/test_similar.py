@@ -154,6 +154,13 @@ def test_first_copy_posts_in_any_order_of_reading(spark, monkeypatch, group):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {5: copied, 100: "", 900: ""}
 
 
+def test_short_lines_are_compared(spark):
+    rows = [(1, "a b c d e\none two\n\nx\np q r"), (2, "two one\na b c d\n\nx y\np q r s"), (3, "x\n \na b c\nd c b a\ntwo one two")]
+    got = line_dedup.line_dedup(docs_frame(spark, rows))
+    want = {1: rows[0][1], 2: "\nx y\np q r s", 3: " \na b c"}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab \n\tc\xc3\xa9") for _ in range(20_000)) + b" "
