@@ -129,3 +129,11 @@ def test_long_texts_are_cut_where_no_token_crosses():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert "".join(parts) == text and len(parts) > 20
     assert sum((t.encode(p, add_special_tokens=False).ids for p in parts), []) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_keep_their_ids():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.TextTokenizer(vocabulary())
+    assert np.frombuffer(own.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", " <|endoftext|>\n", "é <|endoftext|> " * 40_000):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
