@@ -27,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, 0.8 of 256 fingerprint bits alike."""
+    """Documents go whose five-word shingles have Jaccard 0.8 with a kept one's; 0.8 of 256 fingerprint bits alike make candidates."""
     return simhash.simhash_dedup(docs)
 
 

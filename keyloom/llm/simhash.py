@@ -25,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .line_dedup import _mix, line_id, word_hashes
 from .shared import materialise
 
 SHINGLE = 5
@@ -36,6 +37,8 @@ RADIUS = 4
 TILE = 65_536
 BLOCK = 256
 SEED = 42
+VERIFIED = (4, 5)  # 0.8
+GROUP_BYTES = 8 << 20
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
@@ -229,8 +232,107 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.hex(fp))
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: texts whose fingerprints agree in ``similarity`` of their bits link."""
-    groups = simhash_groups(docs, shingle, int(64 * words * (1 - similarity) + 1e-9), words, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles; empty without words."""
+    _, h = word_hashes(np.frombuffer(data.lower() + b" ", dtype=np.uint8))
+    k = min(shingle, len(h))
+    if not k:
+        return np.empty(0, np.uint64)
+    n = len(h) - k + 1
+    out = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+    return np.unique(out)
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or b"", shingle).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "key", "shingles"])
+
+    return rows.select("component", "key", "text").mapInArrow(run, "component long, key long, shingles binary")
+
+
+def _left(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows similar to none of the kept rows, which are marked ``lead``."""
+    return _decided(rows, leads_only=True)
+
+
+def _kept(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows similar to no kept row before them."""
+    return _decided(rows, leads_only=False)
+
+
+def _decided(rows: pd.DataFrame, leads_only: bool) -> pd.DataFrame:
+    num, den = VERIFIED
+    rows = rows.sort_values(["lead", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    size, lead = np.array([len(x) for x in sets], dtype=np.int64), rows["lead"].to_numpy(bool)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    mark, open_ = np.zeros(len(code) + 1, dtype=np.int64), np.ones(len(rows), dtype=bool)
+    for i in range(len(rows)):
+        if not open_[i] or (leads_only and not lead[i]):
+            continue
+        rest = np.nonzero(open_[i + 1 :] & ~lead[i + 1 :])[0] + i + 1
+        rest = rest[(num * size[i] <= den * size[rest]) & (num * size[rest] <= den * size[i])]
+        if size[i] == 0:
+            open_[rest] = False  # texts without words are alike, and like no other
+            continue
+        own = code[ends[i] - size[i] : ends[i]]
+        mark[own] = 1
+        for j in rest.tolist():
+            both = int(mark[code[ends[j] - size[j] : ends[j]]].sum())
+            open_[j] = both * (num + den) < num * (size[i] + size[j])
+        mark[own] = 0
+    return rows.loc[open_ & ~lead, ["component", "key", "shingles"]]
+
+
+def _verified_kept(sets: DataFrame, group_bytes: int) -> DataFrame:
+    """The keys that stay of (component, key, shingles): in order of key, whatever is similar to no kept document.
+
+    A component's first ``group_bytes`` of sets are decided in one task; the others meet what is
+    kept of those in groups of that size, and what is left of them begins anew.
+    """
+    kept = None
+    schema = "component long, key long, shingles binary"
+    order = Window.partitionBy("component").orderBy("key")
+    while True:
+        size = F.octet_length("shingles") + 64
+        places = sets.select("component", "key", size.alias("size")).withColumn("before", F.sum("size").over(order) - F.col("size"))
+        places = materialise(places.select("component", "key", F.floor(F.col("before") / group_bytes).alias("block")), "places")
+        blocks = places.groupBy("component").agg(F.max("block").alias("salts")).where("salts > 0")
+        head = sets.join(places.where("block = 0"), ["component", "key"], "left_semi").withColumn("lead", F.lit(False))
+        head = materialise(head.groupBy("component").applyInPandas(_kept, schema), "heads")
+        kept = head.select("key") if kept is None else kept.unionByName(head.select("key"))
+        blocks = materialise(blocks, "blocks")
+        if blocks.isEmpty():
+            return kept
+        leads = head.join(blocks, "component").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("salts").cast("int"))))
+        rest = sets.join(places.where("block > 0"), ["component", "key"]).withColumn("salt", F.col("block").cast("int"))
+        columns = ["component", "key", "shingles", "salt"]
+        both = leads.select(*columns, F.lit(True).alias("lead")).unionByName(rest.select(*columns, F.lit(False).alias("lead")))
+        sets = materialise(both.groupBy("component", "salt").applyInPandas(_left, schema), "rest")
+        if sets.isEmpty():
+            return kept
+
+
+def simhash_dedup(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES
+) -> DataFrame:
+    """``docs`` without those whose shingles have Jaccard ``VERIFIED`` or more with a kept document's.
+
+    Texts whose fingerprints agree in ``similarity`` of their bits link, and are compared exactly
+    within the components of these links. Null ids stand after all others, told apart by text.
+    """
+    rows = docs.select(line_id(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    groups = simhash_groups(rows, shingle, int(64 * words * (1 - similarity) + 1e-9), words, "key", "text")
+    groups = materialise(groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct(), "components")
+    several = groups.groupBy("component").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("component")
+    members = materialise(groups.join(several, "component", "left_semi"), "members")
+    sets = materialise(_shingle_sets(rows.join(members, "key"), shingle).distinct(), "shingles")
+    gone = members.select("key").distinct().join(_verified_kept(sets, group_bytes), "key", "left_anti")
+    names = docs.columns
+    keyed = docs.withColumn("simhash_key", line_id(F.col(id_col), F.col(text_col)))
+    return keyed.join(gone.withColumnRenamed("key", "simhash_key").hint("shuffle_hash"), "simhash_key", "left_anti").select(*names)

@@ -94,6 +94,29 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5] and kept.columns == df.columns
 
 
+@pytest.mark.parametrize("group_bytes", [simhash.GROUP_BYTES, 9_000])
+def test_dedup_drops_only_what_is_verified(spark, group_bytes):
+    rng = random.Random(10)
+    base = prose(rng, 404).split()
+
+    def changed(k):
+        w = list(base)
+        for at in range(0, 400, 400 // k):
+            w[at] = f"new{rng.random()}"
+        return " ".join(w)
+
+    rows = [(10, " ".join(base)), (1, ""), (2, " \n "), (3, "one two three four five six")]
+    rows += [(20 + k, changed(k)) for k in (2, 4, 8, 16, 20)] + [(60 + k, changed(16)) for k in range(4)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.split()) else set() for i, t in rows}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    kept = []
+    for i, s in sorted(sets.items()):
+        if not any(alike(s, sets[j]) for j in kept):
+            kept.append(i)
+    got = simhash.simhash_dedup(docs_frame(spark, rows), similarity=0.5, group_bytes=group_bytes)
+    assert sorted(r["doc_id"] for r in got.collect()) == kept and 3 in kept and len(kept) > 5
+
+
 def brute_lines(rows):
     seen, gone = [], defaultdict(set)
     for i, t in rows:
