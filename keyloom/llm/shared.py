@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing = threading.Lock()
+_writers: dict[str, int | str] = {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when a write ends; the setting returns to what it was with the last of several writers."""
+    with _writing:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _writing:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(_CLEANUP, _writers["before"])
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -28,13 +50,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex}/{label}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -122,7 +122,7 @@ def brute_lines(rows):
     for i, t in rows:
         for k, line in enumerate((t or "").encode().split(b"\n")):
             s = set(line.split())
-            if len(s) < line_dedup.LEAST_WORDS:
+            if len(s) < 1:
                 continue
             if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                 gone[i].add(k)
@@ -159,11 +159,13 @@ def test_line_dedup_of_odd_rows(odd_docs):
     assert rows.where("text is null").count() == odd_docs.where("text is null").count()
 
 
-def test_second_round_finds_what_the_first_left_out(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "DOUBTFUL", 1)
+@pytest.mark.parametrize("few, length", [(1, 24), (16, 24), (1, 110)])
+def test_second_round_finds_what_the_first_left_out(spark, monkeypatch, few, length):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "ASKERS", 7)
     rng = random.Random(13)
-    words = [f"w{k}" for k in range(30)]
-    rows = [(i, " ".join(rng.sample(words, 24))) for i in range(80)]
+    words = [f"w{k}" for k in range(length * 5 // 4)]
+    rows = [(i, " ".join(rng.sample(words, length + i % 3))) for i in range(80)]
     got = line_dedup.line_dedup(docs_frame(spark, rows))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(rows)
 
