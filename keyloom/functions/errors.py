@@ -73,6 +73,10 @@ class CorruptImage(KeyloomError):
     pass
 
 
+class OutcomeUnknown(KeyloomError):
+    """A commit that broke off while its manifest was being created: it may stand or not."""
+
+
 class AtomicError(KeyloomError):
     """A batch that failed; ``kind`` says whether it can have been applied."""
 

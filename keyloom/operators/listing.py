@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Self
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def rollup(live: DataFrame, prefix: Key, delimiter: Key, start_after: Key | None
     """(kind, path, value, version): keys without a further delimiter, and each common prefix once, with null value and version.
 
     ``resume`` says what the marker is compared with: the keys below an entry ("key"), or the
-    entry's own path ("entry"). Key-only listings are one combining aggregate; listings with
-    values leave keys as they are, because keys are unique, and aggregate prefixes only.
+    entry's own path ("entry"). A listing is one combining aggregate over one scan; key-only listings
+    never read values.
     """
     if resume not in ("key", "entry"):
         raise ValueError("resume is 'key' or 'entry'")
@@ -37,14 +38,9 @@ def rollup(live: DataFrame, prefix: Key, delimiter: Key, start_after: Key | None
     rows = rows.withColumn("rolled", rollup_path(F.col("key"), prefix, delimiter))
     path = F.coalesce("rolled", "key").alias("path")
     kind = F.when(F.col("rolled").isNull(), KEY).otherwise(COMMON_PREFIX).alias("kind")
-    if values:
-        keys = rows.where("rolled is null").select(F.lit(KEY).alias("kind"), F.col("key").alias("path"), "value", "version")
-        rolled = rows.where("rolled is not null").select(F.col("rolled").alias("path")).distinct()
-        value = F.lit(None).cast(dict(live.dtypes)["value"]).alias("value")
-        out = keys.unionByName(rolled.select(F.lit(COMMON_PREFIX).alias("kind"), "path", value, F.lit(None).cast("long").alias("version")))
-    else:
-        version = F.max(F.when(F.col("rolled").isNull(), F.col("version"))).alias("version")
-        out = rows.groupBy(kind, path).agg(version)
+    own = F.col("rolled").isNull()
+    fields = [F.max(F.when(own, F.col(c))).alias(c) for c in (("value", "version") if values else ("version",))]
+    out = rows.groupBy(kind, path).agg(*fields)
     return out if resume == "key" or start_after is None else out.where(F.col("path") > F.lit(start_after))
 
 
@@ -75,8 +71,8 @@ def ancestor_counts(live: DataFrame, delimiter: str = "/") -> DataFrame:
 
 
 @dataclass(frozen=True)
-class RangeBuilder:
-    """A scan in the making: prefix, marker and delimiter in any order, the last of each holding."""
+class ScopedRange:
+    """A scan in the making within a fixed prefix: marker and delimiter in any order, the last of each holding."""
 
     live: DataFrame
     scope: Key | None = None
@@ -85,13 +81,10 @@ class RangeBuilder:
     values: bool = True
     resume: str = "key"
 
-    def prefix(self, prefix: Key) -> RangeBuilder:
-        return replace(self, scope=prefix)
-
-    def start_after(self, key: Key) -> RangeBuilder:
+    def start_after(self, key: Key) -> Self:
         return replace(self, marker=key)
 
-    def delimiter(self, delimiter: Key) -> RangeBuilder:
+    def delimiter(self, delimiter: Key) -> Self:
         return replace(self, divider=delimiter)
 
     def _entries(self) -> DataFrame:
@@ -115,8 +108,16 @@ class RangeBuilder:
         rolled = F.count_if(F.col("kind") == COMMON_PREFIX)
         return entries.agg((F.count(F.lit(1)) - rolled).alias("returned"), rolled.alias("rollup"))
 
-    def after_common_prefix(self, path: bytes) -> RangeBuilder:
+    def after_common_prefix(self, path: bytes) -> Self:
         """Go on behind a common prefix: nothing below it comes again."""
         end = successor(path)
         below = self.live.limit(0) if end is None else self.live.where(F.col("key") >= F.lit(end))
         return replace(self, live=below)
+
+
+@dataclass(frozen=True)
+class RangeBuilder(ScopedRange):
+    """A scan of a whole tree, whose prefix can be set."""
+
+    def prefix(self, prefix: Key) -> Self:
+        return replace(self, scope=prefix)

@@ -12,6 +12,16 @@ def tree_stats(live: DataFrame) -> DataFrame:
     return live.groupBy("tree").agg(F.count(F.lit(1)).alias("n_keys"), size("key").alias("key_bytes"), size("value").alias("value_bytes"), F.max("version").alias("last_version"))
 
 
+def described(stats: DataFrame, namespace: str = "keyloom") -> DataFrame:
+    """(line, place): the HELP and TYPE lines of every counter before its samples, in order of place."""
+    columns = [c for c in stats.columns if c != "tree"]
+    heads = [(f"# HELP {namespace}_{c} {c.replace('_', ' ')} of a tree", f"{i}a") for i, c in enumerate(columns)]
+    heads += [(f"# TYPE {namespace}_{c} gauge", f"{i}b") for i, c in enumerate(columns)]
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"{namespace}_{c}", f"{i}c")])
+    samples = exposition(stats, namespace).select("line", place[F.substring_index("line", "{", 1)].alias("place"))
+    return stats.sparkSession.createDataFrame(heads, "line string, place string").unionByName(samples)
+
+
 def exposition(stats: DataFrame, namespace: str = "keyloom") -> DataFrame:
     """(line): one Prometheus sample per tree and counter."""
     columns = [c for c in stats.columns if c != "tree"]

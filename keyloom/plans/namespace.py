@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.errors import OutsideViewScope
 from ..functions.keys import Key, in_prefix
 from ..operators import points, prefixjoin
-from ..operators.listing import RangeBuilder
+from ..operators.listing import ScopedRange
 
 
 @dataclass(frozen=True)
@@ -43,17 +44,17 @@ class View:
     def rows(self) -> DataFrame:
         return self.live.where(in_prefix(F.col("key"), self.scope)).select("key", "value", "version")
 
-    def range(self) -> RangeBuilder:
-        return RangeBuilder(self.live, self.scope)
+    def range(self) -> ScopedRange:
+        return ScopedRange(self.live, self.scope)
 
-    def scan(self, prefix: Key) -> RangeBuilder:
-        return RangeBuilder(self.live, self._inside(prefix))
+    def scan(self, prefix: Key) -> ScopedRange:
+        return ScopedRange(self.live, self._inside(prefix))
 
-    def range_keys(self) -> RangeBuilder:
-        return RangeBuilder(self.live, self.scope, values=False)
+    def range_keys(self) -> ScopedRange:
+        return ScopedRange(self.live, self.scope, values=False)
 
-    def scan_keys(self, prefix: Key) -> RangeBuilder:
-        return RangeBuilder(self.live, self._inside(prefix), values=False)
+    def scan_keys(self, prefix: Key) -> ScopedRange:
+        return ScopedRange(self.live, self._inside(prefix), values=False)
 
     def is_prefix_empty(self, prefix: Key) -> bool:
         return points.is_prefix_empty(self.live, self._inside(prefix)).first()[0]
@@ -69,17 +70,21 @@ class View:
 
 
 class Snapshot(View):
-    """A view with an epoch that grows from snapshot to snapshot; ``retire`` gives up what it holds."""
+    """A view with an epoch that grows from snapshot to snapshot.
 
-    def __init__(self, live: DataFrame, scope: Key, epoch: int):
+    The files it reads stay until ``retire``, whatever is checkpointed and collected meanwhile.
+    """
+
+    def __init__(self, live: DataFrame, scope: Key, epoch: int, release: Callable[[], object] = lambda: None):
         super().__init__(live, scope)
         object.__setattr__(self, "epoch", epoch)
+        object.__setattr__(self, "release", release)
 
     def view(self) -> View:
         return View(self.live, self.scope)
 
     def retire(self) -> None:
-        self.live.unpersist()
+        self.release()
 
 
 class DBView(dict):

@@ -73,6 +73,15 @@ def events_log(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("event_id").alias("seq"), tree.alias("tree"), op.alias("op"), key.alias("key"), F.col("event_type").alias("value"))
 
 
+def position(spark: SparkSession, d: str, num: int, den: int) -> int:
+    """A position of the log, as a share of its last one."""
+    return (table(spark, d, "events").agg(F.max("event_id")).first()[0] or 0) * num // den
+
+
+def s_position(num: int, den: int) -> str:
+    return f"(SELECT max(event_id) * {num} // {den} FROM events)"
+
+
 S_DOCS = "docs AS (SELECT 'docs/' || source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS key, n_chars AS value, doc_id AS version FROM documents)"
 S_WEB = "web AS (SELECT url AS key, CAST(length(html) AS BIGINT) AS value, page_id AS version FROM pages)"
 S_ORDERS = "ords AS (SELECT 'orders/' || strftime(o_orderdate, '%Y/%m/%d') || '/' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_totalprice AS value, o_orderkey AS version FROM orders)"
@@ -306,16 +315,16 @@ def replay_last(spark, d):
     return replay.fold_last(events_log(spark, d))
 
 
-@query(f"WITH {S_LOG}, {s_live('WHERE seq <= 5000')} SELECT * FROM live")
+@query(f"WITH {S_LOG}, {s_live(f'WHERE seq <= {s_position(1, 2)}')} SELECT * FROM live")
 def view_as_of_seq(spark, d):
-    return replay.as_of(events_log(spark, d), 5000)
+    return replay.as_of(events_log(spark, d), position(spark, d, 1, 2))
 
 
-@query(f"""WITH {S_LOG}, {s_live('WHERE seq <= 3000', 'a')}, {s_live('WHERE seq <= 6000', 'b')}, t AS (SELECT DISTINCT tree, key FROM log WHERE seq > 3000 AND seq <= 6000)
+@query(f"""WITH {S_LOG}, {s_live(f'WHERE seq <= {s_position(3, 10)}', 'a')}, {s_live(f'WHERE seq <= {s_position(3, 5)}', 'b')}, t AS (SELECT DISTINCT tree, key FROM log WHERE seq > {s_position(3, 10)} AND seq <= {s_position(3, 5)})
 SELECT t.tree, t.key, CASE WHEN a.version IS NULL THEN 'created' WHEN b.version IS NULL THEN 'deleted' ELSE 'changed' END AS change
 FROM t LEFT JOIN a USING (tree, key) LEFT JOIN b USING (tree, key) WHERE a.version IS NOT NULL OR b.version IS NOT NULL""")
 def snapshot_diff(spark, d):
-    return replay.diff(events_log(spark, d), 3000, 6000)
+    return replay.diff(events_log(spark, d), position(spark, d, 3, 10), position(spark, d, 3, 5))
 
 
 @query(f"WITH {S_LOG}, f AS (SELECT tree, key, arg_max(op, seq) AS op FROM log GROUP BY 1, 2) SELECT (SELECT count(*) FROM log) AS n_ops, count(*) AS n_keys, CAST(count_if(op <> 'delete') AS BIGINT) AS n_live, CAST(count_if(op = 'delete') AS BIGINT) AS n_tombstones FROM f")
@@ -330,13 +339,13 @@ def coalesced_writes(spark, d):
 
 @query(f"WITH {S_LOG}, {s_live()} SELECT * FROM live")
 def overlay_delta(spark, d):
-    log = events_log(spark, d)
-    return replay.overlay(replay.as_of(log, 4000), log.where("seq > 4000"))
+    log, at = events_log(spark, d), position(spark, d, 2, 5)
+    return replay.overlay(replay.as_of(log, at), log.where(F.col("seq") > at))
 
 
-@query(f"WITH {S_LOG}, {s_live('WHERE seq <= 8000')} SELECT * FROM live WHERE (tree = 'even' AND starts_with(key, 'u/0000')) OR (tree = 'odd' AND starts_with(key, 'u/00001'))")
+@query(f"WITH {S_LOG}, {s_live(f'WHERE seq <= {s_position(4, 5)}')} SELECT * FROM live WHERE (tree = 'even' AND starts_with(key, 'u/0000')) OR (tree = 'odd' AND starts_with(key, 'u/00001'))")
 def multi_tree_view(spark, d):
-    live = replay.as_of(events_log(spark, d), 8000)
+    live = replay.as_of(events_log(spark, d), position(spark, d, 4, 5))
     parts = [live.where((F.col("tree") == t) & in_prefix(F.col("key"), p)) for t, p in (("even", "u/0000"), ("odd", "u/00001"))]
     return parts[0].unionByName(parts[1])
 
@@ -385,10 +394,10 @@ def requests(spark, d) -> DataFrame:
 
 
 def live_half(spark, d) -> DataFrame:
-    return replay.as_of(events_log(spark, d), 5000).select("key", "value", "version")
+    return replay.as_of(events_log(spark, d), position(spark, d, 1, 2)).select("key", "value", "version")
 
 
-S_REQ = f"{S_LOG}, {s_live('WHERE seq <= 5000')}, req AS (SELECT event_id AS idx, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '/' || CAST(event_id % 9 AS VARCHAR) AS key, event_id - event_id % 2 AS expected, event_type AS value FROM events), j AS (SELECT req.*, live.version FROM req LEFT JOIN live USING (key))"
+S_REQ = f"{S_LOG}, {s_live(f'WHERE seq <= {s_position(1, 2)}')}, req AS (SELECT event_id AS idx, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '/' || CAST(event_id % 9 AS VARCHAR) AS key, event_id - event_id % 2 AS expected, event_type AS value FROM events), j AS (SELECT req.*, live.version FROM req LEFT JOIN live USING (key))"
 
 
 @query(f"WITH {S_REQ} SELECT idx, key, version IS NULL AS created FROM j")
@@ -411,9 +420,9 @@ def delete_outcomes(spark, d):
     return mutation.delete(live_half(spark, d), requests(spark, d))
 
 
-@query(f"WITH {S_REQ} SELECT idx, key, coalesce(version = expected, false) AS applied FROM j WHERE idx % 3 = 0")
+@query(f"WITH {S_REQ} SELECT idx, key, coalesce(version = expected, false) AS applied FROM j")
 def delete_if_version_outcomes(spark, d):
-    return mutation.delete_if_version(live_half(spark, d), requests(spark, d).where("idx % 3 = 0"))
+    return mutation.delete_if_version(live_half(spark, d), requests(spark, d))
 
 
 @query(f"""WITH {S_REQ}, m AS (SELECT *, CASE WHEN idx % 5 = 0 THEN key ELSE 'u/' || lpad(CAST(idx % 200 AS VARCHAR), 6, '0') || '/1' END AS dst_key, idx % 2 = 0 AS force FROM j)
@@ -431,10 +440,11 @@ def guard_version(spark, d):
     return mutation.assert_versions(live_half(spark, d), guards)
 
 
-@query(f"WITH {S_LOG}, {s_live()}, p AS (SELECT DISTINCT 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '/' || CAST(event_id % 11 AS VARCHAR) AS prefix FROM events) SELECT prefix, NOT EXISTS (SELECT 1 FROM live WHERE starts_with(key, prefix)) AS empty FROM p")
+@query(f"WITH {S_LOG}, {s_live()}, p AS (SELECT DISTINCT substr('u/' || lpad(CAST(user_id * 3 AS VARCHAR), 6, '0') || '/' || CAST(event_id % 11 AS VARCHAR), 1, CAST(6 + event_id % 5 AS INTEGER)) AS prefix FROM events) SELECT prefix, NOT EXISTS (SELECT 1 FROM live WHERE starts_with(key, prefix)) AS empty FROM p")
 def guard_prefix_empty(spark, d):
     t = table(spark, d, "events")
-    asked = t.select(F.concat(F.lit("u/"), _padded("user_id", 6), F.lit("/"), (F.col("event_id") % 11).cast("string")).alias("prefix"))
+    key = F.concat(F.lit("u/"), F.lpad((F.col("user_id") * 3).cast("string"), 6, "0"), F.lit("/"), (F.col("event_id") % 11).cast("string"))
+    asked = t.select(F.substring(key, F.lit(1), (6 + F.col("event_id") % 5).cast("int")).alias("prefix")).distinct()
     return points.prefixes_empty(replay.fold_last(events_log(spark, d)), asked)
 
 
@@ -464,9 +474,12 @@ def journal_state(spark, d):
     return journal(spark, d).agg(F.min("cur_seq").alias("checkpoint"), F.max("cur_seq").alias("tail"))
 
 
-@query("SELECT count(*) AS broken FROM events a LEFT JOIN events b ON b.event_id = a.event_id - 1 WHERE b.event_id IS NULL AND a.event_id > (SELECT min(event_id) FROM events)")
+@query("SELECT event_id AS cur_seq FROM events WHERE event_id > (SELECT min(event_id) FROM events) AND (event_id % 101 = 0 OR (event_id % 113 = 1 AND event_id > 1))")
 def journal_chain(spark, d):
-    return J.broken_links(journal(spark, d)).agg(F.count(F.lit(1)).alias("broken"))
+    """A chain with foreign previous digests, and with records that are missing."""
+    foreign = F.when(F.col("cur_seq") % 101 == 0, F.unhex(F.lit("00" * 32))).otherwise(F.col("prev_digest"))
+    missing = (F.col("cur_seq") % 113 == 0) & (F.col("cur_seq") > 1)
+    return J.broken_links(journal(spark, d).withColumn("prev_digest", foreign).where(~missing)).select("cur_seq")
 
 
 @query(f"WITH {S_LOG}, {s_live()} SELECT tree, key, value FROM live")
@@ -479,9 +492,11 @@ def tenant_scan(spark, d):
     return listing.scan(conv(spark, d), "conv/0000000")
 
 
-@query("SELECT count(*) AS n, 0 AS corrupt FROM events")
+@query("SELECT count(*) AS n, CAST(count_if(event_id % 97 = 0) AS INTEGER) AS corrupt FROM events")
 def log_checksums(spark, d):
-    log = replay.checksums(events_log(spark, d))
+    """Records whose value changed after their checksum was taken are found, and no others."""
+    changed = F.when(F.col("seq") % 97 == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value"))
+    log = replay.checksums(events_log(spark, d)).withColumn("value", changed)
     return log.agg(F.count(F.lit(1)).alias("n")).join(replay.corrupt_records(log).agg(F.count(F.lit(1)).cast("int").alias("corrupt")), F.lit(True))
 
 

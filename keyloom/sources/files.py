@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,12 +34,16 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a file that must not exist yet, by rename; False if another writer was first."""
-        part = self._p(f".{name.replace('/', '_')}.part")
-        out = self.fs.create(part, True)
+        """Write a file that must not exist yet, created without overwriting; False if another writer was first."""
+        try:
+            out = self.fs.create(self._p(name), False)
+        except Py4JJavaError:
+            if self.exists(name):
+                return False
+            raise
         out.write(text.encode())
         out.close()
-        return not self.exists(name) and self.fs.rename(part, self._p(name))
+        return True
 
     def delete(self, name: str) -> bool:
         return self.fs.delete(self._p(name), True)

@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 from keyloom import queries as core
+from keyloom import store_queries  # noqa: F401
 
 ROOT = Path(__file__).resolve().parent.parent
-FAST = ["list_dir", "list_dir_marker", "longest_prefix", "prefix_count_many", "replay_last", "snapshot_diff", "journal_page", "guard_version", "scan_prefix", "put_rows"]
+FAST = ["list_dir", "list_dir_marker", "longest_prefix", "prefix_count_many", "replay_last", "snapshot_diff", "journal_page", "guard_version", "scan_prefix", "put_rows", "store_atomic_batch", "store_atomic_guard_fails", "store_snapshot", "store_torn_commit", "store_catalog"]
 
 
 def test_entry(spark):
