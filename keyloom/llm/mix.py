@@ -11,7 +11,9 @@ finish time, and only the slice in which the budget ends is sorted.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
 documents of size 0 and sources of size 0 take nothing; rows that repeat an id are counted
-each; an empty table gives an empty result.
+each; rows without id are told apart by text; finish times that tie are taken together or not at
+all; a very long text counts like any other; an empty table gives an empty result; other columns
+pass through, or are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, WORD_CLASS, materialise
+from .shared import SPACE_CLASS, WORD_CLASS, materialise, unused
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -58,8 +60,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 
 def mix_sizes(rows: DataFrame, seed: str = "", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """Add source_size, target and copies (times the document is taken) to rows of (doc_id, source, size, ...)."""
-    spark = rows.sparkSession
-    rows = materialise(rows.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).substr(1, 16)), "sizes")
+    rows = rows if "mark" in rows.columns else rows.withColumn("mark", F.lit(None).cast("string"))
+    rows = materialise(rows.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), "mark", F.lit("")))).substr(1, 16)), "sizes")
     n = rows.count()
     slices = max(1, n // ROWS_PER_SLICE)
     rows = rows.withColumn("slice", (F.conv(F.col("key").substr(1, _HEX), 16, 10).cast("long") * slices / (16**_HEX)).cast("long"))
@@ -76,7 +78,7 @@ def mix_sizes(rows: DataFrame, seed: str = "", weights: tuple[int, ...] = WEIGHT
     # Finish times as a share of the target, one for each pass over the source.
     times = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (F.col("end") + i * F.col("source_size")) / F.col("target"))
     rows = materialise(rows.withColumn("times", F.when(F.col("size") > 0, times)), "times")
-    cut = _cut(rows, n, F.col("size"), spark)
+    cut = _cut(rows, n, F.col("size"), budget)
     copies = F.coalesce(F.size(F.filter("times", lambda t: t <= F.lit(cut))), F.lit(0)) if cut is not None else F.lit(0)
     copies = F.when(F.col("times").isNull(), 0).otherwise(copies).cast("int")
     return rows.withColumn("copies", copies).drop("times", "end", "key")
@@ -89,13 +91,13 @@ def _null_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.drop(*[f"r_{k}" for k in keys])
 
 
-def _cut(rows: DataFrame, n: int, size: Column, spark) -> float | None:
+def _cut(rows: DataFrame, n: int, size: Column, budget: float) -> float | None:
     """The last finish time that the budget covers; None if it covers none. Only sums reach the driver."""
     slices = max(16, n // ROWS_PER_SLICE)
     items = rows.select(F.explode("times").alias("t"), size.alias("size"))
     items = items.withColumn("slice", F.least(F.col("t") * (slices // 2), F.lit(float(slices))).cast("long"))
     sums = items.groupBy("slice").agg(F.sum("size").alias("n"))
-    budget = rows.agg((F.sum("size") * F.lit(BUDGET)).alias("b")).first()["b"]
+    budget = rows.agg((F.sum("size") * F.lit(float(budget))).alias("b")).first()["b"]
     if budget is None:
         return None
     run = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -113,7 +115,9 @@ def _cut(rows: DataFrame, n: int, size: Column, spark) -> float | None:
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    """(doc_id, source, size, mark): where the id is null, mark tells rows apart by text."""
+    mark = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mark.alias("mark"))
 
 
 def mix(docs: DataFrame, seed: str = "") -> DataFrame:
@@ -125,7 +129,9 @@ def mix(docs: DataFrame, seed: str = "") -> DataFrame:
 def mix_documents(docs: DataFrame, seed: str = "", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as many times as the mix takes it; rows alike in id, source and size share one decision."""
     sizes = mix_sizes(document_sizes(docs, id_col, source_col, text_col), seed).where("copies > 0")
-    taken = sizes.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies"))
-    on = F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")) & (word_count(F.col(text_col)) == F.col("mix_size"))
+    i, s, n, m, copies, copy = unused(docs, "mix_id", "mix_source", "mix_size", "mix_mark", "copies", "copy")
+    taken = sizes.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("mark").alias(m)).agg(F.max("copies").alias(copies))
+    mark = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    on = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (word_count(F.col(text_col)) == F.col(n)) & mark.eqNullSafe(F.col(m))
     both = docs.join(taken.hint("shuffle_hash"), on)
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -13,9 +13,17 @@ of the shingles, and more bits estimate it more sharply.
 
 Copies share one fingerprint and are grouped before anything is compared.
 
+``simhash_dedup`` looks for texts whose shingles have Jaccard ``VERIFIED`` or more. Such texts
+differ in too many bits for population counts to tell tiles apart, so tiles go by the number of
+distinct shingles, which that similarity bounds, and population counts come second. The links it
+finds are candidates and are verified. All-pairs comparison within these bounds stays quadratic in
+the texts of about one size, in time and in tiles moved.
+
 Defined cases: a text without words (null, empty or blank) has fingerprint zero and links like
-any other; null ids sort after all others as representatives; rows that repeat share a group;
-an empty table gives an empty result; other columns are ignored.
+any other in ``simhash_groups``, and is a copy of every such text in ``simhash_dedup``; null ids
+sort after all others; rows that repeat share a group, and of rows alike in id and text
+``simhash_dedup`` keeps one; of texts that tie the smallest id stays; very long texts are read
+whole; an empty table gives an empty result; other columns are ignored, or pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .line_dedup import _mix, line_id, word_hashes
-from .shared import materialise
+from .shared import discard, materialise, unused
 
 SHINGLE = 5
 RADIUS = 4
@@ -39,44 +47,35 @@ BLOCK = 256
 SEED = 42
 VERIFIED = (4, 5)  # 0.8
 GROUP_BYTES = 8 << 20
+BROADCAST_ROWS = 20_000
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
-    """The fingerprint of UTF-8 text, of so many 64-bit words, as big-endian bytes.
-
-    One word takes its bits from XXH64; a wider one from XXH3 of 128 bits, seed after seed.
-    """
-    from xxhash import xxh3_128_digest, xxh64_digest
-
-    if words == 1:
-        def digest(x: bytes) -> bytes:
-            return xxh64_digest(x, SEED)
-    else:
-        def digest(x: bytes) -> bytes:
-            return b"".join([xxh3_128_digest(x, SEED + k) for k in range(words // 2)])
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> bytes:
+    """The 64-bit fingerprint of UTF-8 text, as big-endian bytes."""
+    from xxhash import xxh64_digest
 
     parts = data.lower().split()  # of bytes: A-Z only, and exactly space and U+0009 to U+000D
     if not parts:
-        return bytes(8 * words)
+        return bytes(8)
     flat = b" ".join(parts)
     if len(parts) <= shingle:
-        return digest(flat)
+        return xxh64_digest(flat, SEED)
     ends = np.cumsum([len(w) + 1 for w in parts])
     starts = np.concatenate(([0], ends[:-1]))[: len(parts) - shingle + 1].tolist()
     ends = (ends[shingle - 1 :] - 1).tolist()
-    counts, n = np.zeros(64 * words, dtype=np.int64), len(starts)
+    counts, n = np.zeros(64, dtype=np.int64), len(starts)
     for k in range(0, n, 16_384):
-        hashes = b"".join([digest(flat[a:b]) for a, b in zip(starts[k : k + 16_384], ends[k : k + 16_384], strict=True)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8 * words), axis=1).sum(0, dtype=np.int64)
+        hashes = b"".join([xxh64_digest(flat[a:b], SEED) for a, b in zip(starts[k : k + 16_384], ends[k : k + 16_384], strict=True)])
+        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py() or b"", shingle, words) for t in batch.column(1)]
+            values = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
@@ -102,16 +101,23 @@ def _parts(fp: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bitwise_count((fp >> np.uint64(16 * k)) & np.uint64(0xFFFF)) for k in range(4)], axis=1).astype(np.int16)
 
 
-def _boxes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest part counts of each block of rows."""
-    at = np.arange(0, len(fp), BLOCK)
-    q = _parts(fp)
+def _boxes(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest of each column in each block of rows."""
+    at = np.arange(0, len(q), BLOCK)
     return np.minimum.reduceat(q, at), np.maximum.reduceat(q, at)
 
 
-def _tile(blob: bytes, words: int) -> np.ndarray:
-    fp = np.frombuffer(blob, dtype=">u8").reshape(-1, words).astype(np.uint64)
-    return fp[np.lexsort(_parts(fp).T[::-1])]
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least possible sum of differences of two blocks' columns, block by block."""
+    (low_a, high_a), (low_b, high_b) = _boxes(a), _boxes(b)
+    return np.maximum(0, np.maximum(low_a[:, None] - high_b[None], low_b[None] - high_a[:, None])).sum(-1)
+
+
+def _tile(blob: bytes, words: int, sized: bool) -> np.ndarray:
+    """The rows of a tile; with sizes, which stand last, in order of them."""
+    fp = np.frombuffer(blob, dtype=">u8").reshape(-1, words + sized).astype(np.uint64)
+    order = [*_parts(fp[:, :words]).T[::-1], *([fp[:, words]] if sized else [])]
+    return fp[np.lexsort(order)]
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -123,14 +129,19 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare(first: bytes, second: bytes | None, radius: int = RADIUS, words: int = 1) -> list[tuple[bytes, bytes]]:
-    """Spanning links between or within the distinct fingerprints of two tiles; second None: within the first."""
-    a = _tile(first, words)
+def compare(first: bytes, second: bytes | None, radius: int = RADIUS, words: int = 1, size_gap: int | None = None) -> list[tuple[bytes, bytes]]:
+    """Spanning links between or within the distinct fingerprints of two tiles; second None: within the first.
+
+    With ``size_gap`` every fingerprint is followed by a size of 64 bits, and sizes that differ by more do not link.
+    """
+    sized = size_gap is not None
+    a = _tile(first, words, sized)
     same = second is None
-    b = a if same else _tile(second, words)
-    low_a, high_a = _boxes(a)
-    low_b, high_b = (low_a, high_a) if same else _boxes(b)
-    gap = np.maximum(0, np.maximum(low_a[:, None] - high_b[None], low_b[None] - high_a[:, None])).sum(-1)
+    b = a if same else _tile(second, words, sized)
+    near = _gap(_parts(a[:, :words]), _parts(b[:, :words])) <= radius
+    if sized:
+        n, m = a[:, words].astype(np.int64), b[:, words].astype(np.int64)
+        near &= _gap(n[:, None], m[:, None]) <= size_gap
     # The forest so far; links are folded in when many have gathered.
     label, rows, cols, gathered = np.arange(len(a) + (0 if same else len(b))), [], [], 0
     offset = 0 if same else len(a)
@@ -139,10 +150,14 @@ def compare(first: bytes, second: bytes | None, radius: int = RADIUS, words: int
         own = np.arange(len(label))
         return _forest(np.concatenate([own, *rows]), np.concatenate([label, *cols]), len(label))
 
-    for i, j in zip(*np.nonzero(gap <= radius), strict=True):
+    for i, j in zip(*np.nonzero(near), strict=True):
         if same and j < i:
             continue
-        r, c = np.nonzero(_distance(a[i * BLOCK : (i + 1) * BLOCK], b[j * BLOCK : (j + 1) * BLOCK]) <= radius)
+        x, y = slice(i * BLOCK, (i + 1) * BLOCK), slice(j * BLOCK, (j + 1) * BLOCK)
+        alike = _distance(a[x, :words], b[y, :words]) <= radius
+        if sized:
+            alike &= np.abs(n[x, None] - m[None, y]) <= size_gap
+        r, c = np.nonzero(alike)
         if same and i == j:
             r, c = r[r < c], c[r < c]
         if len(r):
@@ -180,9 +195,13 @@ def _plan_tiles(counts: dict[int, int], tile: int) -> list[tuple[int, int, int,
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, words: int = 1, tile: int = TILE) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct ``fp`` within the radius."""
-    known = distinct.select("fp", _population(F.col("fp"), words).alias("pop"))
+def links(distinct: DataFrame, radius: int = RADIUS, words: int = 1, tile: int = TILE, size_gap: int | None = None) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of distinct ``fp`` within the radius.
+
+    Tiles hold ranges of population counts; with ``size_gap`` ranges of the sizes that end every ``fp``.
+    """
+    order = _population(F.col("fp"), words) if size_gap is None else F.conv(F.hex(F.substring("fp", 8 * words + 1, 8)), 16, 10)
+    known = distinct.select("fp", order.cast("int").alias("pop"))
     counts = {r["pop"]: r["count"] for r in known.groupBy("pop").count().collect()}  # one for each number of bits
     n = sum(counts.values())
     plan = _plan_tiles(counts, max(1_024, min(tile, n // 12)))
@@ -202,7 +221,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, words: int = 1, tile: int =
     near = [x for _, _, x in tiles]
     t2 = F.explode(F.sequence(F.col("t"), F.lit(max(near)))).alias("t2")
     other = spans.select(F.col("low").alias("low2"), F.col("t").alias("t2"))
-    pairs = spans.select("high", F.col("t").alias("t1"), t2).join(other, "t2").where(F.col("low2") - F.col("high") <= radius).select("t1", "t2")
+    pairs = spans.select("high", F.col("t").alias("t1"), t2).join(other, "t2").where(F.col("low2") - F.col("high") <= (radius if size_gap is None else size_gap)).select("t1", "t2")
     x, y = packed.select(F.col("tile").alias("t1"), F.col("fps").alias("x")), packed.select(F.col("tile").alias("t2"), F.col("fps").alias("y"))
     work = pairs.join(x, "t1").join(y, "t2").select("t1", "t2", "x", "y")
     work = work.repartition(max(2 * len(tiles), len(tiles) ** 2 // 8), "t1", "t2")
@@ -210,17 +229,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, words: int = 1, tile: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t1, t2, u, v in zip(*(batch.column(k) for k in range(4)), strict=True):
-                found = compare(u.as_py(), None if t1.as_py() == t2.as_py() else v.as_py(), radius, words)
+                found = compare(u.as_py(), None if t1.as_py() == t2.as_py() else v.as_py(), radius, words, size_gap)
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return work.mapInArrow(run, "a binary, b binary")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fp, component_id (the smallest id reachable over links)."""
-    rows = materialise(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    rows = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     groups = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    roots = components(links(groups, radius, words))
+    roots = components(links(groups, radius))
     linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = materialise(linked, "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -251,7 +270,38 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t.as_py() or b"", shingle).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "key", "shingles"])
 
-    return rows.select("component", "key", "text").mapInArrow(run, "component long, key long, shingles binary")
+    return rows.select("component", "key", "text").mapInArrow(run, "component binary, key string, shingles binary")
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int) -> bytes:
+    """The fingerprint of distinct 64-bit shingle hashes, of so many words, each from hashes mixed anew."""
+    out = []
+    for k in range(words):
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(shingles), 65_536):
+            mixed = _mix(shingles[at : at + 65_536] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            counts += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(np.packbits(counts * 2 > len(shingles)).tobytes())
+    return b"".join(out)
+
+
+# Sizes are told in steps of 2 ** (1 / 32); a size and 5/4 of it are at most so many apart.
+_STEPS = 32
+SIZE_GAP = int(np.ceil(np.log2(VERIFIED[1] / VERIFIED[0]) * _STEPS))
+
+
+def _prints(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(key, digest, fp): a digest of the set of shingles, and its fingerprint with its size behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1)]
+            prints = [wide_fingerprint(x, words) + int(np.log2(len(x) + 1) * _STEPS).to_bytes(8, "big") for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(prints, pa.binary())], ["key", "digest", "fp"])
+
+    return rows.select("key", "text").mapInArrow(run, "key string, digest binary, fp binary")
 
 
 def _left(rows: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +346,7 @@ def _verified_kept(sets: DataFrame, group_bytes: int) -> DataFrame:
     kept of those in groups of that size, and what is left of them begins anew.
     """
     kept = None
-    schema = "component long, key long, shingles binary"
+    schema = "component binary, key string, shingles binary"
     order = Window.partitionBy("component").orderBy("key")
     while True:
         size = F.octet_length("shingles") + 64
@@ -318,21 +368,41 @@ def _verified_kept(sets: DataFrame, group_bytes: int) -> DataFrame:
             return kept
 
 
+def _row_key(id_col: Column, text: Column) -> Column:
+    """A string that orders rows by id, then by a hash of the text; null ids come last."""
+    number = F.lpad(F.hex(line_id(id_col, text).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(number, F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+
+
 def simhash_dedup(
     docs: DataFrame, shingle: int = SHINGLE, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES
 ) -> DataFrame:
     """``docs`` without those whose shingles have Jaccard ``VERIFIED`` or more with a kept document's.
 
-    Texts whose fingerprints agree in ``similarity`` of their bits link, and are compared exactly
-    within the components of these links. Null ids stand after all others, told apart by text.
+    Of texts with the same set of shingles the first stays. Texts of similar size whose fingerprints
+    agree in ``similarity`` of their bits link, and are compared exactly within the components of these links.
     """
-    rows = docs.select(line_id(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    groups = simhash_groups(rows, shingle, int(64 * words * (1 - similarity) + 1e-9), words, "key", "text")
-    groups = materialise(groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct(), "components")
+    (key,) = unused(docs, "simhash_key")
+    rows = docs.select(_row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    prints = materialise(_prints(rows, shingle, words), "prints")
+    first = prints.groupBy("digest").agg(F.min(F.struct("key", "fp")).alias("f")).select("f.key", "f.fp")
+    first = materialise(first, "first")
+    nodes = materialise(first.select("fp").distinct(), "nodes")
+    roots = components(links(nodes, int(64 * words * (1 - similarity) + 1e-9), words, size_gap=SIZE_GAP))
+    groups = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("component"))
+    groups = materialise(groups, "components")
     several = groups.groupBy("component").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("component")
     members = materialise(groups.join(several, "component", "left_semi"), "members")
-    sets = materialise(_shingle_sets(rows.join(members, "key"), shingle).distinct(), "shingles")
-    gone = members.select("key").distinct().join(_verified_kept(sets, group_bytes), "key", "left_anti")
-    names = docs.columns
-    keyed = docs.withColumn("simhash_key", line_id(F.col(id_col), F.col(text_col)))
-    return keyed.join(gone.withColumnRenamed("key", "simhash_key").hint("shuffle_hash"), "simhash_key", "left_anti").select(*names)
+    few = members.count() <= BROADCAST_ROWS  # then no text is shuffled
+    sets = materialise(_shingle_sets(rows.join(F.broadcast(members) if few else members.hint("shuffle_hash"), "key"), shingle).dropDuplicates(["key"]), "shingles")
+    alike = members.select("key").join(_verified_kept(sets, group_bytes), "key", "left_anti")
+    gone = prints.select("key").distinct().join(first.select("key"), "key", "left_anti").unionByName(alike)
+    gone = materialise(gone, "gone")
+    repeated = materialise(prints.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    discard(prints, first, nodes, groups, members, sets)
+    keyed = docs.withColumn(key, _row_key(F.col(id_col), F.col(text_col)))
+    kept = keyed.join(gone.withColumnRenamed("key", key).hint("shuffle_hash"), key, "left_anti")
+    if not repeated.isEmpty():
+        twice = repeated.withColumnRenamed("key", key)
+        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)

@@ -78,6 +78,13 @@ def test_mix(spark, odd_docs, no_docs):
     taken = mix.mix_documents(many).groupBy("doc_id").count()
     want = mix.mix(many).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("long").alias("count"))
     assert sorted(map(tuple, taken.collect())) == sorted(map(tuple, want.collect())) and mix.mix_documents(many).columns == many.columns
+    half = mix.mix_sizes(mix.document_sizes(many), budget=0.5)
+    total = half.agg(F.sum("size"), F.sum(F.col("copies") * F.col("size"))).first()
+    assert 0.5 * total[0] - 4 * 9 <= total[1] <= 0.5 * total[0]
+    clash = many.withColumnsRenamed({"path": "copy", "digest": "copies", "blob": "mix_id"})
+    assert mix.mix_documents(clash).columns == clash.columns and mix.mix_documents(no_docs).count() == 0
+    nameless = docs_frame(spark, [(None, f"word {i}", "a") for i in range(50)])
+    assert 70 <= mix.mix_documents(nameless).count() <= 75
     zero = docs_frame(spark, [(1, ""), (2, None)])
     assert [r["taken"] for r in mix.mix(zero).collect()] == [0, 0]
 

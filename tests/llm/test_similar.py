@@ -92,6 +92,30 @@ def test_dedup_keeps_one_of_each_group(spark):
     df = docs_frame(spark, [(1, prose(rng, 300)), (2, text), (3, text), (4, near), (5, None), (6, "")])
     kept = simhash.simhash_dedup(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5] and kept.columns == df.columns
+    # Repeated rows and null ids: one of each text, the one with an id.
+    df = docs_frame(spark, [(1, text), (1, text), (None, text), (None, near), (None, prose(rng, 300)), (1, prose(rng, 250))]).withColumnRenamed("path", "simhash_key")
+    kept = simhash.simhash_dedup(df)
+    assert sorted((r["doc_id"] or 0, len(r["text"].split())) for r in kept.collect()) == [(0, 300), (1, 250), (1, 300)] and kept.columns == df.columns
+
+
+def test_dedup_of_no_rows(no_docs):
+    assert simhash.simhash_dedup(no_docs).count() == 0
+
+
+def test_dedup_finds_nearly_all_pairs_that_are_similar_enough(spark):
+    rng = random.Random(21)
+    rows, want = [], 0
+    for i in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 800]))]
+        rows.append((i, " ".join(base)))
+        other = list(base)
+        for at in rng.sample(range(len(base)), max(1, len(base) * 2 // 100)):
+            other[at] = f"new{rng.random()}"
+        rows.append((1000 + i, " ".join(other)))
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other))
+        want += 5 * len(a & b) >= 4 * len(a | b)
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(docs_frame(spark, rows)).collect()}
+    assert set(range(120)) <= kept and 240 - len(kept) >= 0.95 * want and want > 40
 
 
 @pytest.mark.parametrize("group_bytes", [simhash.GROUP_BYTES, 9_000])
