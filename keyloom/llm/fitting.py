@@ -61,9 +61,11 @@ def label_rate(known: DataFrame) -> float:
     return (float(ones or 0) + 1) / (float(n) + 2)
 
 
-def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text", class_bytes: int | None = None) -> DataFrame:
     """(id, text, y, half): at most ``per_class`` of the known rows of each label, copies of a text once.
 
+    With ``class_bytes`` a label's rows, whole texts in order of that hash, end with the one that reaches so many bytes.
+
     Rows are chosen by the smallest hash of their id; ``half`` splits them evenly for fitting
     and calibration. The chosen ids are few by construction, so they are broadcast.
     """
@@ -73,4 +75,9 @@ def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int, id_col: s
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("id", "text", "y", "half")
     first = Window.partitionBy(F.sha2(F.col("text").cast("binary"), 256)).orderBy(F.desc("y"), "id")
-    return rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    rows = rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    if class_bytes is None:
+        return rows
+    # At most per_class rows of each label.
+    before = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string")), "id", F.octet_length("text")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("b", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("b") < class_bytes).drop("b")

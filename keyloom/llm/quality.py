@@ -2,13 +2,14 @@
 
 Every text is compressed in short blocks twice, once with a dictionary of good and once with
 one of bad text. The normalised difference of the two sizes says which it resembles; a logistic
-calibration on sample rows kept out of the dictionaries turns the difference, together with
-the mean compressed size per byte, into the probability of label 1. Short blocks keep the
-dictionary at work throughout long texts.
-
-Defined cases: a null or empty text has difference 0 and size 1 and the calibrated score of
-that; rows that repeat are scored each; without labels of both kinds every score is one
-constant; an empty table gives an empty result; other columns are ignored.
+calibration turns it into the probability of label 1; it is fitted on sample rows that are measured
+without their own text in a dictionary. Short blocks keep the dictionary at work throughout long
+texts. Dictionaries hold the whole texts of the sample, and their windows and tables are as large.
+
+Defined cases: a null or empty text has difference 0 and the calibrated score of that; very long
+texts are scored whole; rows that repeat, and texts that tie, are scored each; without labels of
+both kinds every score is one constant; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from .shared import fold, materialise
 
 FOLDS, HELD_OUT = 3, 1
 PER_CLASS = 2_000  # bound of the labelled sample, rows of each label
-DICTIONARY_BYTES = 400_000
-PIECE_BYTES = 2_000  # what one sample row gives to a dictionary at most
-BLOCK = 1_024
+CLASS_BYTES = 8_000_000  # and bytes: the row that reaches them is a label's last
+BLOCK = 256
 LEVEL = 3
 
 
@@ -39,56 +39,60 @@ class Model(NamedTuple):
 
 
 class Measure:
-    """(normalised difference, mean compressed size per byte) of a text's UTF-8 bytes."""
+    """The normalised difference of a text's UTF-8 bytes."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as z
 
         def compressor(content: bytes):
-            d = {"dict_data": z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)} if len(content) >= 8 else {}
-            return z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **d)
+            log = min(27, max(17, len(content).bit_length()))
+            how = z.ZstdCompressionParameters.from_level(LEVEL, window_log=log, hash_log=min(log, 22), chain_log=min(log, 22), write_content_size=False, write_checksum=False, write_dict_id=False)
+            if len(content) < 8:
+                return z.ZstdCompressor(compression_params=how)
+            held = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=how)
+            return z.ZstdCompressor(compression_params=how, dict_data=held)
 
         self.good, self.bad = compressor(good), compressor(bad)
 
-    def __call__(self, data: bytes) -> tuple[float, float]:
+    def __call__(self, data: bytes) -> float:
         if not data:
-            return 0.0, 1.0
+            return 0.0
         view = memoryview(data)
         blocks = [view[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
         good = sum(len(self.good.compress(b)) for b in blocks)
         bad = sum(len(self.bad.compress(b)) for b in blocks)
-        return (bad - good) / (bad + good), (bad + good) / 2 / len(data)
-
+        return (bad - good) / (bad + good)
 
-def _pieces(sample: DataFrame) -> DataFrame:
-    """The middle of each row, cut before it travels to the driver."""
-    at = F.greatest(F.lit(1), F.floor((F.octet_length("text") - PIECE_BYTES) / 2).cast("int"))
-    return sample.select("y", F.substring(F.col("text").cast("binary"), at, F.lit(PIECE_BYTES)).alias("piece"), "id")
 
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most ``per_class`` rows and about ``class_bytes`` bytes of each label outside the held-out fold.
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``per_class`` rows of each label outside the held-out fold."""
+    Each half of the sample is measured with dictionaries of the other half's whole texts; the
+    calibration comes from these, the final dictionaries from both halves.
+    """
     known = known_labels(labels, "quality", FOLDS, HELD_OUT)
-    sample = materialise(labelled_sample(docs, known, per_class, id_col, text_col), "sample")
-    # At most 2 * per_class pieces of PIECE_BYTES.
-    rows = sorted(_pieces(sample.where("half = 0")).collect(), key=lambda r: (r["id"], r["piece"]))
-    good, bad = (b"".join(r["piece"] for r in rows if r["y"] == y)[:DICTIONARY_BYTES] for y in (1, 0))
+    sample = materialise(labelled_sample(docs, known, per_class, id_col, text_col, class_bytes), "sample")
+    rows = sorted(sample.select("id", "y", "half", F.col("text").cast("binary").alias("text")).collect(), key=lambda r: (r["id"], bytes(r["text"])))
+
+    def joined(halves: tuple[int, ...]) -> tuple[bytes, bytes]:
+        return tuple(b"\n".join(bytes(r["text"]) for r in rows if r["y"] == y and r["half"] in halves) for y in (1, 0))
+
+    held = docs.sparkSession.sparkContext.broadcast((joined((1,)), joined((0,))))  # about 2 * class_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = Measure(good, bad)
+        measure = [Measure(*d) for d in held.value]
         for batch in batches:
-            x = [measure(t.as_py().encode("utf-8", "replace")) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in x], pa.float64()) for k in (0, 1)] + [batch.column(1).cast(pa.int32())], ["a", "b", "y"])
+            x = [measure[h](t.as_py().encode("utf-8", "replace")) for t, h in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    found = sample.where("half = 1").select("text", "y").mapInArrow(run, "a double, b double, y int").collect()
-    x = np.array([(r["a"], r["b"]) for r in found], dtype=float).reshape(len(found), 2)
-    order = np.lexsort(x.T)
-    return Model(good, bad, fit_logistic(x[order], np.array([r["y"] for r in found], dtype=int)[order], label_rate(known)))
+    found = sorted((r["x"], r["y"]) for r in sample.select("text", "y", "half").mapInArrow(run, "x double, y int").collect())
+    return Model(*joined((0, 1)), fit_logistic(np.array([x for x, _ in found]), np.array([y for _, y in found], dtype=int), label_rate(known)))
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, difference, size_per_byte per row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
+    """doc_id, score, difference per row."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -96,11 +100,11 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
         for batch in batches:
             x = [measure((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m.calibration(*v) for v in x], pa.float64()), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64())],
-                ["doc_id", "score", "difference", "size_per_byte"],
+                [batch.column(0), pa.array([m.calibration(v) for v in x], pa.float64()), pa.array(x, pa.float64())],
+                ["doc_id", "score", "difference"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, difference double, size_per_byte double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, difference double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

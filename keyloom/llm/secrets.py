@@ -9,8 +9,11 @@ Only hashes and ids are grouped; a blob's text moves once, keyed by its row's id
 that a third of all rows hold lands in no single task. When few blobs are unseen, as in a
 daily run, their ids are broadcast (up to ``BROADCAST_ROWS``) and no text moves at all.
 
-Defined cases: a null text counts as empty; rows with null or repeated ids are results each;
-an empty table gives an empty result and an empty ledger; other columns are ignored.
+``scan_into`` keeps the ledger as a growing Parquet table.
+
+Defined cases: a null text counts as empty; rows with null or repeated ids, and texts that repeat,
+are results each; very long texts are scanned whole; an empty table gives an empty result and an
+empty ledger; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -130,5 +133,16 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return paths.join(spans, "blob", "left"), appended
 
 
+def scan_into(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The findings of ``docs`` by the ledger under ``path``, to which what is new is appended."""
+    spark = docs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    found, appended = secret_scan(docs, spark.read.schema(LEDGER).parquet(path) if known else None, rules, id_col, text_col)
+    found = materialise(found, "found")
+    appended.write.mode("append").parquet(path)
+    return found
+
+
 def span_text(spans: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ","), F.lit(""))

@@ -5,17 +5,19 @@ shared folder. Queries go in blocks; a task has one shard's tree and one block.
 node for every query (centre's product plus radius times the query's norm), drops nodes below
 the query's kth score, and visits leaves best bound first. A first round looks only at each
 query's best leaf per shard; the kth best of what all shards found is a score that every shard
-then starts from, so most leaves are never opened. Results reach the final ranking as at most
-k rows for each query and shard.
+then starts from, so most leaves are never opened. Shards are searched in waves, and each wave
+starts from the kth score of all before it. Results reach the final ranking as at most k rows for
+each query and shard. What moves is every tree once for each block of queries, and every query
+once for each shard: quadratic in the table by nature, with blocks and shards of about one size.
 
 Components become integers, floor(scale * x); scores are exact integers: products go through
 double precision where every sum stays below 2^53 and through Python integers otherwise.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null
-id, take no part; of rows that share an id, the one with the smallest components stands for it;
-missing components count as zero, so an empty vector scores 0 with all; ties go to the smaller
-id; with fewer candidates than k all are returned; an empty table gives an empty result; other
-columns are ignored.
+id, take no part; of rows that share an id, the one with the smallest integer components stands
+for it, as query and as candidate; missing components count as zero, so an empty vector scores 0
+with all; very long vectors are read whole; ties go to the smaller id; with fewer candidates than
+k all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .shared import materialise, shards_for
 SCALE = 256
 PER_SHARD = 8_192
 LEAF = 128
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 8_192  # as large as a shard: trees and queries move alike often
+WAVES = (1, 3)  # shares of the shards, searched one after the other
 _EXACT = 2.0**53
 
 
@@ -44,10 +47,6 @@ def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def quantize(x: np.ndarray) -> np.ndarray:
-    return np.floor(np.asarray(x, dtype=np.float64) * SCALE)
-
-
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products as int64, saturated to its range where they leave it."""
     width = min(q.shape[1], c.shape[1])
@@ -146,17 +145,20 @@ class BallTree:
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>): one usable vector per id."""
+    """(vec_id, v array<double>): the usable vectors, each component floor(SCALE * x)."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+    # Beyond the range of long, where floor() ends, doubles are whole numbers anyway.
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
+    return rows.select("vec_id", whole.alias("v"))
 
 
 def build_trees(candidates: DataFrame, shards: int) -> DataFrame:
     """(shard, tree): one ball tree per shard."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = [quantize(v) for v in rows["v"]]
+        vectors = [np.asarray(v, dtype=np.float64) for v in rows["v"]]
         first = sorted(range(len(vectors)), key=lambda i: (rows["vec_id"].iat[i], vectors[i].tolist()))
         ids = rows["vec_id"].to_numpy(np.int64)[first]
         keep = np.concatenate([[True], ids[1:] != ids[:-1]])
@@ -174,21 +176,21 @@ def _round(trees: DataFrame, blocks: DataFrame, k: int, best_leaf_only: bool) ->
         if not len(tree) or not len(queries):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
         t = BallTree.from_bytes(tree["tree"].iloc[0])
-        q = [quantize(v) for v in queries["v"]]
+        q = [np.asarray(v, dtype=np.float64) for v in queries["v"]]
         ids = queries["query_id"].to_numpy(np.int64)
         found, scores = t.search(ids, _matrix(q, max(map(len, q))), queries["floor"].to_numpy(np.float64), k, best_leaf_only)
         some = found != np.iinfo(np.int64).max
         return pd.DataFrame({"query_id": np.repeat(ids, k)[some.ravel()], "vec_id": found[some], "score": scores[some]})
 
     left = trees.withColumn("block", F.explode(_numbers(blocks, "block")))
-    right = blocks.withColumn("shard", F.explode(_numbers(trees, "shard")))
+    right = blocks.withColumn("shard", F.explode(_numbers(trees, "shard")))  # a shard without a tree finds nothing
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
 
 
 def _numbers(df: DataFrame, column: str) -> Column:
-    """0 to the column's greatest value."""
-    n = df.agg(F.max(column)).first()[0]
-    return F.array().cast("array<int>") if n is None else F.sequence(F.lit(0), F.lit(n))
+    """The column's least to its greatest value."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return F.array().cast("array<int>") if low is None else F.sequence(F.lit(low), F.lit(high))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -199,10 +201,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     blocks = shards_for(asked.count(), QUERY_BLOCK, 1)
     asked = materialise(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
-    seed = _round(trees, asked.withColumn("floor", F.lit(float("-inf"))), k, True)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floor = seed.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    started = materialise(asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "started")
-    found = _round(trees, started, k, False)
+
+    def started(found: DataFrame) -> DataFrame:
+        """The queries with the kth score of what has been found, from which the next shards start."""
+        kth = found.distinct().withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        return materialise(asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "started")
+
+    seed = materialise(_round(trees, asked.withColumn("floor", F.lit(float("-inf"))), k, True), "seed")
+    found = None
+    ends = sorted({shards * sum(WAVES[: w + 1]) // sum(WAVES) for w in range(len(WAVES))} - {0})
+    for first, end in zip([0, *ends], ends, strict=False):
+        wave = trees.where((F.col("shard") >= first) & (F.col("shard") < end))
+        new = materialise(_round(wave, started(seed if found is None else found.unionByName(seed)), k, False), "found")
+        found = new if found is None else found.unionByName(new)
     ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -82,6 +83,83 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     assert sorted(map(key, toxicity.toxicity(docs, labels).collect())) == sorted(map(key, toxicity.toxicity(docs, turned).collect()))
 
 
+def test_token_table_and_law_match_their_formulas(spark):
+    docs, labels = labelled(spark)
+    known = labels.selectExpr("doc_id as id", "toxic as y")
+    sample = docs.where("doc_id < 300").select("doc_id", "text").dropDuplicates(["doc_id"]).join(known, docs["doc_id"] == known["id"]).selectExpr("text", "y", "cast(0 as int) as half")
+    rows = [(r["text"], r["y"]) for r in sample.collect()]
+    counts = {0: {}, 1: {}}
+    for text, y in rows:
+        words = {w.lower() for w in toxicity._WORD.findall(text)}
+        for t in words | {"~" + w[:k] for w in words for k in toxicity.STEMS if len(w) > k}:
+            counts[y][t] = counts[y].get(t, 0) + 1
+    n1, n0 = sum(counts[1].values()), sum(counts[0].values())
+    want = {}
+    for t in counts[0].keys() | counts[1].keys():
+        y1, y0 = counts[1].get(t, 0), counts[0].get(t, 0)
+        a1, a0, whole = y1 + 0.1 * (y1 + y0), y0 + 0.1 * (y1 + y0), 0.1 * (n1 + n0)
+        odds = math.log(a1 / (n1 + whole - a1)) - math.log(a0 / (n0 + whole - a0))
+        if abs(odds) >= toxicity.LEAST_Z * math.sqrt(1 / a1 + 1 / a0):
+            want[t] = odds
+    table = toxicity.token_table(toxicity.count_tokens(sample))
+    assert table == pytest.approx(want) and "vileword" in table
+    model = toxicity.with_law(sample, table)
+    memo, clean, total = toxicity.Memo(table), 0, 0.0
+    for text, y in rows:
+        if y == 0:
+            values = [model.other if s is None else s for s in toxicity.word_scores(toxicity._WORD.findall(text), memo)]
+            best = max([0.0, *(s for *_, s in brute_segments(values))]) if any(v > 0 for v in values) else 0.0
+            clean, total = clean + 1, total + len(values) * math.exp(-model.decay * best)
+    assert model.factor == pytest.approx((clean + 0.5) / (total + 500))
+
+
+def test_segments_count_together():
+    model = toxicity.Model({}, -0.1, 1.5, 0.01, None)
+    one, two = toxicity.tail(model, [6.0], 100), toxicity.tail(model, [6.0, 6.0], 100)
+    t = 2 * (1.5 * 6 - math.log(0.01 * 100))
+    assert one == pytest.approx(9.0) and two == pytest.approx(t - math.log(t) + math.log(2) - 2 * math.log(2)) and two > one
+    assert toxicity.tail(model, [6.0, 0.1], 10_000) == toxicity.tail(model, [6.0], 10_000)
+
+
+def test_negative_scores_part_segments():
+    rng = random.Random(16)
+    for _ in range(100):
+        values = [rng.choice([-2.0, -0.5, rng.uniform(0.5, 3)]) for _ in range(rng.randint(1, 20))]
+        got = toxicity.maximal_segments([i for i, v in enumerate(values) if v != -0.5], [v for v in values if v != -0.5], -0.5)
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in brute_segments(values)))
+
+
+def test_quality_is_the_difference_of_compressed_sizes(spark):
+    import zstandard
+
+    rng = random.Random(30)
+    good, bad = prose(rng, 2_000).encode(), prose(rng, 2_000).upper().encode()
+    measure = quality.Measure(good, bad)
+    assert measure(good[3000:3900]) > 0.2 > -0.2 > measure(bad[3000:3900]) and measure(b"") == 0.0
+    size = [0, 0]
+    text = good[100:900] + bad[100:300]
+    for k, content in enumerate((good, bad)):
+        log = len(content).bit_length()
+        how = zstandard.ZstdCompressionParameters.from_level(quality.LEVEL, window_log=max(17, log), hash_log=max(17, log), chain_log=max(17, log), write_content_size=False)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for at in range(0, len(text), quality.BLOCK):
+            size[k] += len(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress(text[at : at + quality.BLOCK]))
+    assert measure(text) == pytest.approx((size[1] - size[0]) / sum(size), abs=0.02)
+    # The first and the last words of the sample are in the dictionaries alike.
+    assert abs(measure(good[:900]) - measure(good[-900:])) < 0.2
+
+
+def test_long_texts_are_scored_whole(spark):
+    docs, labels = labelled(spark)
+    rng = random.Random(31)
+    long = prose(rng, 60_000)
+    rows = docs_frame(spark, [(1, long), (2, long + " vileword hatefulone vileword hatefulone vileword"), (3, " ".join(w.upper() + "!!" for w in long.split()))])
+    tox = {r["doc_id"]: r["passages"] for r in toxicity.score_toxicity(rows, toxicity.fit(docs, labels)).collect()}
+    assert not tox[1] and tox[2] and tox[2][-1]["start"] >= len(long)
+    scores = {r["doc_id"]: r["score"] for r in quality.score_quality(rows, quality.fit(docs, labels)).collect()}
+    assert scores[1] > 0.5 > scores[3]
+
+
 def test_passages_and_filter(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)

@@ -32,6 +32,9 @@ def test_top_k(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, score long")
     got = topk.top_k(df, F.pmod("vec_id", F.lit(20)) == 0, 5)
     assert sorted(map(tuple, got.collect())) == brute_top(vectors, 5, 20)
+    # Rows that share an id: the smallest integer components stand for it on both sides.
+    twice = spark.createDataFrame([(0, [1.0009, -5.0]), (0, [1.0001, 5.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, F.lit(True)).orderBy("query_id").collect()] == [(0, 1, 1, 256 * 256 - 5 * 65536), (1, 1, 0, 256 * 256 - 5 * 65536)]
     two = df.where("vec_id in (0, 1)")
     assert [tuple(r)[:3] for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1)]
     assert topk.top_k(df.where("vec_id < 0"), F.lit(True)).count() == 0
@@ -77,3 +80,16 @@ def test_secret_scan_and_ledger(spark, no_docs):
     assert {len(r["versions"]) for r in more.where(F.size("spans") == 0).collect()} == {1}
     assert {s["kind"] for r in later.collect() for s in r["spans"] or []} == {"tel", "assign", "access", "hex"}
     assert secrets.secret_scan(no_docs)[0].count() == 0
+
+
+def test_stored_ledger_grows_by_unseen_blobs(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = [(i, f"text {i % 30} token=abcdefgh{i % 30}") for i in range(60)] + [(90, "x " * 200_000 + "secret: longenough1")]
+    first = secrets.scan_into(docs_frame(spark, rows[:20]), path)
+    assert first.count() == 20 and spark.read.parquet(path).count() == 20
+    second = secrets.scan_into(docs_frame(spark, rows[20:]), path)
+    assert second.count() == 41 and spark.read.parquet(path).count() == 31
+    once = {r["path"]: r["spans"] for r in secrets.secret_scan(docs_frame(spark, rows))[0].collect()}
+    assert {r["path"]: r["spans"] for r in first.unionByName(second).collect()} == once
+    assert once[90][0]["start"] == 400_000
+    assert secrets.scan_into(docs_frame(spark, rows), path).count() == 61 and spark.read.parquet(path).count() == 31
