@@ -94,17 +94,50 @@ def test_word_count(odd_docs):
         assert r["n"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
 
 
+def brute_licenses(text):
+    """Every run of segments against every template, without any bound or filter."""
+    segs = [(k, license_scan._split(p)) for k, line in enumerate((text or "").split("\n")) for p in re.sub(r"([.!?;:])[ \t]+", "\\1\x01", line).split("\x01")]
+    segs = [s for s in segs if s[1]]
+    templates = {n: set(license_scan.template_bigrams(t)) for n, t in license_scan.TEMPLATES.items()}
+    assert all(len(t) == len(license_scan._split(license_scan.TEMPLATES[n])) - 1 for n, t in templates.items())
+    found = []
+    for i in range(len(segs)):
+        words = []
+        for j in range(i, len(segs)):
+            words = words + segs[j][1]
+            g = set(license_scan.template_bigrams(" ".join(words)))
+            if g and len(g) < 400:
+                dice, name = min((-2 * len(g & t) / (len(g) + len(t)), n) for n, t in templates.items())
+                if -dice >= 0.8:
+                    found.append((-len(g & templates[name]), dice, i, j, name, len(g)))
+    best = []
+    for x in sorted(found):
+        if not any(y[2] <= x[3] and x[2] <= y[3] for y in best):
+            best.append(x)
+    return sorted((segs[i][0], segs[j][0], name, round(-dice, 9), n) for _, dice, i, j, name, n in best)
+
+
 def test_license_scan(spark, odd_docs, no_docs):
-    texts = ["Released under the MIT License.", "x\nreleased UNDER the (MIT) license\ny", license_scan.TEMPLATES["MIT-text"].replace(" and ", "\nand "), "released under the sun", None, "a"]
-    got = license_scan.license_scan(docs_frame(spark, list(enumerate(texts)))).collect()
-    assert {(r["doc_id"], r["line_no"], r["license"]) for r in got} >= {(0, 0, "MIT"), (1, 1, "MIT"), (2, -1, "MIT-text")}
-    assert not {r["doc_id"] for r in got} & {3, 4, 5}
+    t = license_scan.TEMPLATES
+    wrap = lambda x, n: "\n".join(" ".join(x.split()[k : k + n]) for k in range(0, len(x.split()), n))
+    prose = "\n".join(f"a line of other words number {k}" for k in range(60))
+    texts = [
+        "Released under the MIT License.",
+        "x\nreleased UNDER the (MIT) license\ny",
+        f"{prose}\n{wrap(t['MIT-text'], 9)}\n{prose}",
+        f"{prose} Some words. {t['GPL-3.0-header']} More words. {prose}",
+        f"Copyright 2020 A Person\n{wrap(t['BSD-3-Clause-text'], 12)}\n{wrap(t['Apache-2.0-header'], 7)}",
+        t["MIT"] + "\n" + t["MIT"] + " " + t["CC-BY-4.0"],
+        "released under the sun", None, "a", "", " \n ",
+    ]
+    texts += [" ".join(x.split()[: max(2, len(x.split()) * k // 10)]) for x in t.values() for k in (6, 7, 8, 9, 10)]
+    rows = license_scan.license_scan(docs_frame(spark, list(enumerate(texts)))).collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(tuple(r)[1:])
+    for i, text in enumerate(texts):
+        assert sorted(got[i]) == brute_licenses(text), (i, text)
+    assert [x[2] for x in got[2]] == ["MIT-text"] and [x[2] for x in got[3]] == ["GPL-3.0-header"] and {x[2] for x in got[4]} >= {"BSD-3-Clause-text", "Apache-2.0-header"} and len(got[5]) == 3
     assert license_scan.license_scan(no_docs).count() == 0 and license_scan.license_scan(odd_docs).count() == 0
-    # Without the bounds: every template against every unit.
-    lines = [license_scan.TEMPLATES[k] for k in sorted(license_scan.TEMPLATES)]
-    lines += [" ".join(x.split()[: max(2, len(x.split()) * k // 10)]) for x in lines for k in (6, 7, 8, 9)]
-    rows = {r["doc_id"]: (r["license"], r["dice"]) for r in license_scan.license_scan(docs_frame(spark, list(enumerate(lines)))).collect()}
-    for i, x in enumerate(lines):
-        g = set(license_scan.template_bigrams(x))
-        best = max(((2 * len(g & set(t)) / (len(g) + len(t)), n) for n, t in ((n, license_scan.template_bigrams(t)) for n, t in license_scan.TEMPLATES.items())), default=(0, ""))
-        assert (i in rows) == (best[0] >= 0.8) and (i not in rows or abs(rows[i][1] - best[0]) < 1e-8)
+    twice = docs_frame(spark, [(None, texts[0]), (None, texts[0])])
+    assert license_scan.license_scan(twice).count() == 2
