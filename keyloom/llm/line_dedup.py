@@ -153,18 +153,20 @@ class Lines:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.add.reduceat(_mix(self.hash + np.uint64(k)), self.start).view(np.int64) for k in (1, 0x51ED27))
 
-    def signature(self) -> np.ndarray:
-        """64 parities of word counts; for lines over LONG_LINE words, 16 word counts modulo 16."""
+    def signature(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two words: 64 parities of word counts and 0; for lines over LONG_LINE words, 32 word counts modulo 16."""
         if not len(self.size):
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
         out = np.bitwise_xor.reduceat(np.uint64(1) << (self.hash & np.uint64(63)), self.start)
+        more = np.zeros(len(out), dtype=np.uint64)
         long = np.flatnonzero(self.size > LONG_LINE)
         if len(long):
             words = np.concatenate([self.hash[s : s + n] for s, n in zip(self.start[long].tolist(), self.size[long].tolist(), strict=True)])
-            at = np.repeat(np.arange(len(long)), self.size[long]) * 16 + (words & np.uint64(15)).astype(np.int64)
-            four = (np.bincount(at, minlength=16 * len(long)) & 15).astype(np.uint64).reshape(-1, 16)
-            out[long] = np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
-        return out
+            at = np.repeat(np.arange(len(long)), self.size[long]) * 32 + (words & np.uint64(31)).astype(np.int64)
+            four = (np.bincount(at, minlength=32 * len(long)) & 15).astype(np.uint64).reshape(-1, 2, 16)
+            both = np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            out[long], more[long] = both[:, 0], both[:, 1]
+        return out, more
 
 
 def _cyclic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -277,7 +279,7 @@ def _prefixes(lines: Lines, rank: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 # A posting: the word's key, the line, its signature and size, and the word's position in it.
-_FIELDS = (("key", "<u8"), ("doc", "<i8"), ("sig", "<u8"), ("no", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1"))
+_FIELDS = (("key", "<u8"), ("doc", "<i8"), ("sig", "<u8"), ("sig2", "<u8"), ("no", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1"))
 _KEY_BITS = 40  # words that share so many bits of their hash meet needlessly, and are told apart when verified
 _WHOLE = 2
 
@@ -364,7 +366,8 @@ def postings(rows: DataFrame, rank: np.ndarray, buckets: int) -> DataFrame:
             word, line, position = word[keep], line[keep], position[keep]
             total.add(_bucket(word))
             if len(word):
-                waiting.append([_key(word), lines.doc[line], lines.signature()[line], lines.no[line], lines.size[line], position, np.full(len(word), _WHOLE, dtype=np.int8)])
+                sig, sig2 = lines.signature()
+                waiting.append([_key(word), lines.doc[line], sig[line], sig2[line], lines.no[line], lines.size[line], position, np.full(len(word), _WHOLE, dtype=np.int8)])
                 held_postings += len(word)
             if held_postings > FLUSH:
                 yield flush()
@@ -423,7 +426,7 @@ def _similar(g: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np
     a, b, n1, n2, bound = a[at], b[at], n1[at], n2[at], (n1 + n2 - 2 * need)[at]
     far = np.bitwise_count(g["sig"][a] ^ g["sig"][b]).astype(np.int64)
     long = (n1 > LONG_LINE) & (n2 > LONG_LINE)
-    far[long] = _cyclic(g["sig"][a[long]], g["sig"][b[long]])
+    far[long] = sum(_cyclic(g[f][a[long]], g[f][b[long]]) for f in ("sig", "sig2"))
     far[long != ((n1 > LONG_LINE) | (n2 > LONG_LINE))] = 0  # of different kinds
     near = far <= bound
     a, b, far = a[near], b[near], far[near]
@@ -548,8 +551,8 @@ def _line_bucket(doc: np.ndarray, no: np.ndarray) -> np.ndarray:
     return _bucket(_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(1_000_003) + no.astype(np.int64).view(np.uint64)))
 
 
-def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, no, words) of the ``wanted`` (doc, no): sorted word hashes as bytes."""
+def word_sets(rows: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
+    """(doc, no, words) of the ``wanted`` (doc, no): sorted word hashes as bytes. ``few`` are broadcast, so that no text is shuffled."""
     places = wanted.groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,7 +561,6 @@ def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             words = [lines.hash[s : s + n].tobytes() for s, n in zip(lines.start.tolist(), lines.size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(lines.doc), pa.array(lines.no), pa.array(words, pa.binary())], ["doc", "no", "words"])
 
-    few = wanted.count() <= BROADCAST_LINES  # then no text is shuffled
     both = rows.join(F.broadcast(places) if few else places.hint("shuffle_hash"), "doc").select("doc", "text", "nos")
     return both.mapInArrow(run, "doc long, no int, words binary")
 
@@ -640,9 +642,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         few = again.where("cluster is null").select("doc", "no", "by_doc", "by_no").distinct().join(open_, ["doc", "no"], "left_semi")
         few = materialise(few.join(pairs.select("doc", "no", "by_doc", "by_no"), ["doc", "no", "by_doc", "by_no"], "left_anti"), "few")
         members = again.where("cluster is not null")
-        sets = materialise(word_sets(rows, _ends(few).unionByName(members.select("doc", "no")).distinct()), "sets")
+        wanted = materialise(_ends(few).unionByName(members.select("doc", "no")).distinct(), "wanted")
+        sets = materialise(word_sets(rows, wanted, wanted.count() <= BROADCAST_LINES), "sets")
         by_pair, by_cluster = materialise(_verified_pairs(few, sets), "by_pair"), materialise(_verified_members(members, sets), "by_cluster")
-        discard(again, few, sets)
+        discard(again, few, wanted, sets)
         out = out.unionByName(by_pair).unionByName(by_cluster)
     discard(read, pairs, open_)
     return out
