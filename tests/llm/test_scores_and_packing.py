@@ -178,7 +178,6 @@ def test_passages_and_filter(spark):
 
 def test_pack_round_trip(spark, odd_docs, no_docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = packing.pack(docs, vocabulary()).collect()
     by = {}
