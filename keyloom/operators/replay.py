@@ -90,7 +90,7 @@ def fold_renames(log: DataFrame) -> DataFrame:
     # Whole components go to one of a number of buckets; a bucket folds all of its own together.
     buckets = max(1, -(-log.count() // ROWS_PER_BUCKET))
     roots = roots.select("node.tree", "node.key", F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket"))
-    tagged = log.join(roots, ["tree", "key"], "left")
+    tagged = log.join(roots.hint("merge"), ["tree", "key"], "left")
     plain = fold_last(tagged.where("bucket is null"))
     kinds = dict(log.dtypes)
 

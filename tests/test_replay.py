@@ -1,6 +1,7 @@
 import random
 
 from keyloom.operators import mutation, replay
+from keyloom.plans import graph
 
 LOG = "seq long, tree string, op string, key string, value string, dst_key string, force boolean"
 
@@ -37,6 +38,20 @@ def test_chained_rename(spark):
     assert [tuple(r) for r in replay.fold_renames(log(spark, ops)).collect()] == [("t", "c", "1", 3)]
 
 
+def test_renames_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    kept = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: plan(df) or kept(df, label))
+    ops = [o for i in range(50) for o in (("t", "put", f"a{i}", str(i), None, False), ("t", "rename", f"a{i}", None, f"b{i}", False))]
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    out = replay.fold_renames(log(spark, ops))
+    plan(out)
+    assert sum("Join" in p for p in plans) >= 2
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {tuple(r) for r in out.collect()} == {("t", f"b{i}", str(i), 2 * i + 2) for i in range(50)}
+
+
 def test_checksums_find_changed_rows(spark):
     rows = replay.checksums(log(spark, [("t", "put", "a", "1", None, False), ("t", "put", "b", "2", None, False)]))
     assert replay.corrupt_records(rows).count() == 0
