@@ -66,10 +66,13 @@ def page_rows(journal: DataFrame, after: int, row_limit: int, byte_limit: int) -
     return rows.where((F.col("upto") <= byte_limit) | (F.col("at") == 1)).drop("upto", "at")
 
 
-def broken_links(journal: DataFrame) -> DataFrame:
-    """Rows whose previous anchor is not the current anchor of the row before, by an equality join on sequence."""
+def broken_links(journal: DataFrame, floor: int | None = None) -> DataFrame:
+    """Rows whose previous anchor is not the current anchor of the row before, by an equality join on sequence.
+
+    Rows up to ``floor``, the sequence of the journal's checkpoint, are taken as sound; without it, the first row is.
+    """
     before = journal.select(F.col("cur_seq").alias("prev_seq"), F.col("cur_digest").alias("is_digest"))
-    first = journal.agg(F.min("cur_seq").alias("first"))
+    first = journal.agg((F.min("cur_seq") if floor is None else F.lit(floor)).alias("first"))
     rows = journal.join(before, "prev_seq", "left").join(F.broadcast(first), F.lit(True))
     bad = F.col("is_digest").isNull() | (F.col("is_digest") != F.col("prev_digest")) | (F.col("cur_seq") != F.col("prev_seq") + 1)
     return rows.where((F.col("cur_seq") > F.col("first")) & bad).drop("is_digest", "first")
