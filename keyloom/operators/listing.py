@@ -25,23 +25,28 @@ def page(live: DataFrame, prefix: Key | None, start_after: Key | None, limit: in
     return scan(live, prefix, start_after, values).orderBy("key").limit(limit)
 
 
+def _listed(live: DataFrame, prefix: Key, delimiter: Key, start_after: Key | None = None, resume: str = "key", values: bool = True) -> DataFrame:
+    """An entry (kind, path, value, version) for each row, so that common prefixes come again and again."""
+    if resume not in ("key", "entry"):
+        raise ValueError("resume is 'key' or 'entry'")
+    rows = scan(live, prefix, start_after if resume == "key" else None, values)
+    rows = rows.withColumn("rolled", rollup_path(F.col("key"), prefix, delimiter))
+    own = F.col("rolled").isNull()
+    fields = [F.when(own, F.col(c)).alias(c) for c in (("value", "version") if values else ("version",))]
+    out = rows.select(F.when(own, KEY).otherwise(COMMON_PREFIX).alias("kind"), F.coalesce("rolled", "key").alias("path"), *fields)
+    return out if resume == "key" or start_after is None else out.where(F.col("path") > F.lit(start_after))
+
+
 def rollup(live: DataFrame, prefix: Key, delimiter: Key, start_after: Key | None = None, resume: str = "key", values: bool = True) -> DataFrame:
     """(kind, path, value, version): keys without a further delimiter, and each common prefix once, with null value and version.
 
+    Where ``live`` holds several rows of a key, each of them that differs is an entry, as in a scan.
+
     ``resume`` says what the marker is compared with: the keys below an entry ("key"), or the
     entry's own path ("entry"). A listing is one combining aggregate over one scan; key-only listings
     never read values.
     """
-    if resume not in ("key", "entry"):
-        raise ValueError("resume is 'key' or 'entry'")
-    rows = scan(live, prefix, start_after if resume == "key" else None, values)
-    rows = rows.withColumn("rolled", rollup_path(F.col("key"), prefix, delimiter))
-    path = F.coalesce("rolled", "key").alias("path")
-    kind = F.when(F.col("rolled").isNull(), KEY).otherwise(COMMON_PREFIX).alias("kind")
-    own = F.col("rolled").isNull()
-    fields = [F.max(F.when(own, F.col(c))).alias(c) for c in (("value", "version") if values else ("version",))]
-    out = rows.groupBy(kind, path).agg(*fields)
-    return out if resume == "key" or start_after is None else out.where(F.col("path") > F.lit(start_after))
+    return _listed(live, prefix, delimiter, start_after, resume, values).distinct()
 
 
 def rollup_stats(live: DataFrame, prefix: Key, delimiter: Key, measures: dict[str, Column] | None = None) -> DataFrame:
@@ -54,12 +59,12 @@ def rollup_stats(live: DataFrame, prefix: Key, delimiter: Key, measures: dict[st
 
 def read_dir(live: DataFrame, prefix: Key, delimiter: Key = "/") -> DataFrame:
     """(name, is_dir): the entries of a directory, named without the prefix and the trailing delimiter."""
-    entries = rollup(live, prefix, delimiter, values=False)
+    entries = _listed(live, prefix, delimiter, values=False)
     is_dir = F.col("kind") == COMMON_PREFIX
     n = len(prefix)
     size = F.octet_length("path") if isinstance(prefix, bytes) else F.char_length("path")
     name = F.substring(F.col("path"), F.lit(n + 1), size - n - F.when(is_dir, len(delimiter)).otherwise(0))
-    return entries.select(name.alias("name"), is_dir.alias("is_dir"))
+    return entries.select(name.alias("name"), is_dir.alias("is_dir")).distinct()
 
 
 def ancestor_counts(live: DataFrame, delimiter: str = "/") -> DataFrame:
@@ -103,8 +108,12 @@ class ScopedRange:
         return self._entries().orderBy("path").limit(limit)
 
     def stats(self, limit: int | None = None) -> DataFrame:
-        """One row (returned, rollup): keys and common prefixes among the entries."""
-        entries = self._entries() if limit is None else self.visit(limit)
+        """One row (returned, rollup): keys and common prefixes among the entries; a listing counts a key once."""
+        entries = self._entries()
+        if self.divider is not None:
+            entries = entries.select("kind", "path").distinct()
+        if limit is not None:
+            entries = entries.orderBy("path").limit(limit)
         rolled = F.count_if(F.col("kind") == COMMON_PREFIX)
         return entries.agg((F.count(F.lit(1)) - rolled).alias("returned"), rolled.alias("rollup"))
 

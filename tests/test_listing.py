@@ -97,3 +97,15 @@ def test_read_dir_and_sizes(spark):
     assert {tuple(r) for r in listing.read_dir(df, "img/").collect()} == {("01.jpg", False), ("02.jpg", False), ("sub", True), ("other", True)}
     sizes = listing.rollup_stats(df, "", "/", {"top": F.max("version")})
     assert {(r["path"], r["n_keys"], r["top"]) for r in sizes.collect()} == {("img/", 5, 5), ("video/", 1, 6)}
+
+
+def test_rows_of_a_repeated_key_are_not_mixed(spark):
+    rows = [("a", 9, 1), ("a", 2, 5), ("a", 2, 5), ("a?x", 1, 7), ("a?y", 3, 8), ("b", None, 2), ("b", 4, None)]
+    df = spark.createDataFrame(rows, "key string, value long, version long")
+    entries = lambda **k: sorted(map(repr, map(tuple, listing.rollup(df, "", "?", **k).collect())))
+    want = [("common_prefix", "a?", None, None), ("key", "a", 2, 5), ("key", "a", 9, 1), ("key", "b", 4, None), ("key", "b", None, 2)]
+    assert entries() == sorted(map(repr, want))
+    assert entries(values=False) == sorted(repr((k, p, v)) for k, p, _, v in want)
+    r = RangeBuilder(df).delimiter("?")
+    assert tuple(r.stats().first()) == (2, 1) and tuple(r.stats(2).first()) == (1, 1)
+    assert sorted(map(tuple, listing.read_dir(df, "", "?").collect())) == [("a", False), ("a", True), ("b", False)]
